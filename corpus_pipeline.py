@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import quality_rules, simhash
+from sparkloom.llm import exact_dedup, packing, quality_rules, simhash, toxicity
 from sparkloom.llm.common import ship, stored, table
 
 
@@ -18,15 +18,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labelled ones among them, scores below its threshold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the largest doc_id) of each group of equal texts."""
+    ship(spark)
+    return exact_dedup.keep_one(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least doc_id) of each group of near duplicates."""
     ship(spark)
     return simhash.keep_one(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids."""
+    return packing.packing_stage(spark, docs)
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
     ("near_dedup", near_dedup_stage),
+    ("packing", packing_stage),
 ]
 
 #: Weak supervision, boosted trees and fingerprints are beyond SQL; tests hold the run against brute force.

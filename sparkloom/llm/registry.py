@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import quality_rules, simhash
+from sparkloom.llm import exact_dedup, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+}
