@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +37,20 @@ from sparkloom.llm.common import ship, table
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+GROUP = 128
 STEP_TOKENS = 16 * 2048
 
-#: The tokenizer's own word pattern, a fixed value.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+#: The tokenizer's own word pattern, a fixed value, spelt out for characters below U+0250 (and the dot above
+#: that lower-casing can leave, which is neither letter nor number).
+WORD_PATTERN = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+)
 
 
 class WordTokenizer:
-    """Ids of a text, packed as little-endian 32-bit integers."""
+    """Ids of texts, packed as little-endian 32-bit integers."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,30 +58,45 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
-        self.find = regex.compile(WORD_PATTERN).findall
-        self.simple = regex.compile(r"[\x00-ɏ]*").fullmatch
+        self.find = re.compile(WORD_PATTERN).findall
+        self.simple = re.compile(r"[\x00-\u024f]*").fullmatch
         self.known: dict[str, bytes] = {}
         self.most = cache_words
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.simple(text) or any(s in text for s in self.specials):
-            return _packed(self.inner.encode(text, add_special_tokens=False).ids)
-        words = self.find(text.lower())
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found: list[list[str] | bytes] = []
+        met: set[str] = set()
+        for text in texts:
+            if self.simple(text) and not ("<|" in text and any(s in text for s in self.specials)):
+                words = self.find(text.lower())
+                met.update(words)
+                found.append(words)
+            else:
+                found.append(_packed(self.inner.encode(text, add_special_tokens=False).ids))
         known = self.known
-        fresh = [w for w in set(words) if w not in known]
+        fresh = met.difference(known)
         if fresh:
             if len(known) + len(fresh) > self.most:
                 known.clear()
-                fresh = list(set(words))
-            found = self.inner.encode_batch(fresh, add_special_tokens=False)
-            known.update((w, _packed(e.ids)) for w, e in zip(fresh, found, strict=True))
-        return b"".join([known[w] for w in words])
+                fresh = met
+            self._learn(list(fresh))
+        return [x if isinstance(x, bytes) else b"".join([known[w] for w in x]) for x in found]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words never merge across white space, so many go through the tokenizer as one text."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            got = self.inner.encode(" ".join(part), add_special_tokens=False)
+            of = np.array(got.word_ids, dtype=np.int64)
+            ends = (4 * np.searchsorted(of, np.arange(len(part)), "right")).tolist()
+            ids, at = _packed(got.ids), 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = ids[at:end]
+                at = end
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
@@ -249,12 +270,14 @@ def _pack(path: str, tiers: tuple[int, ...], end_id: int, pool_tokens: int, step
 
         fresh = 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                docs[numbers["doc"]] = (row, ids)
-                packer.add(numbers["doc"], 0, len(ids) // 4)
-                numbers["doc"] += 1
-                fresh += len(ids) // 4
+            for k in range(0, batch.num_rows, GROUP):
+                rows, texts = (batch.column(i).slice(k, GROUP).to_pylist() for i in range(2))
+                for row, ids in zip(rows, encode([x or "" for x in texts]), strict=True):
+                    ids += end
+                    docs[numbers["doc"]] = (row, ids)
+                    packer.add(numbers["doc"], 0, len(ids) // 4)
+                    numbers["doc"] += 1
+                    fresh += len(ids) // 4
                 if fresh >= pool_tokens:
                     yield from finished(False)
                     fresh = 0
