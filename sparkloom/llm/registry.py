@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, packing, quality_rules, simhash, toxicity
+from sparkloom.llm import bpe, exact_dedup, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality_rules.op8_quality_rules,
