@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import table
 
-CACHE_WORDS = 500_000
-GROUP_ROWS = 4096
-GROUP_CHARS = 6_000_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
+GROUP_ROWS = 2048
+GROUP_CHARS = 2_000_000
 _NONE = 1 << 40
 _FEW = 48
 
@@ -55,7 +56,7 @@ class Codec:
             if len(token) == 2:
                 first[token[0], token[1]] = rank
         self.first = first
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
         self.most = cache_words
 
@@ -88,11 +89,12 @@ class Codec:
             self.known.update(zip(rest, self.replay(data), strict=True))
 
     def _rank_of(self, a: int, b: int) -> int:
-        found = self.pairs.get((a, b))
+        key = a << 32 | b
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.vocabulary[a] + self.vocabulary[b], _NONE)
+            found = self.pairs[key] = self.ranks.get(self.vocabulary[a] + self.vocabulary[b], _NONE)
         return found
 
     def replay(self, words: list[bytes]) -> list[bytes]:
