@@ -67,9 +67,14 @@ def nsequence() -> Column:
     )
 
 
+def _reversed_bytes(hexed: Column) -> Column:
+    """Bytes of a hex text, last first; reverse() on binary would go by characters."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1))), ""))
+
+
 def internal_txid(txid: Column) -> Column:
     """Bytes of an id in internal order; ids that are no hex keep their text."""
-    return F.when(txid.rlike("^([0-9a-fA-F]{2})*$"), F.reverse(F.unhex(txid))).otherwise(F.encode(txid, "utf-8"))
+    return F.when(txid.rlike("^([0-9a-fA-F]{2})*$"), _reversed_bytes(txid)).otherwise(F.encode(txid, "utf-8"))
 
 
 def _order(keys: Column, unsorted: str, sorted_: str) -> Column:

@@ -47,7 +47,13 @@ def run_once(stream: DataFrame, checkpoint: str, out: str, mode: str = "append")
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A stream of the parquet files at ``path``, a folder or a single file."""
+    table = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(table.schema)
+    if any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def follow_spends(stream_inputs: DataFrame, watched: DataFrame) -> DataFrame:
