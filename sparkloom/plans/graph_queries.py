@@ -214,7 +214,7 @@ _FUND_EDGES = _NODES + ", edge AS (SELECT a, b FROM pairs)"
 
 
 def _funder_components(spark, sf):
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     nodes = _nodes(txs)
     ins = txs.join(nodes.toDF("txid"), "txid", "left_semi").select("txid", F.explode("vin").alias("v")).select("txid", F.col("v.txid").alias("node")).join(nodes, "node", "left_semi")
     star = ins.groupBy("txid").agg(F.min("node").alias("src"), F.collect_set("node").alias("all")).select("src", F.explode("all").alias("dst"))
@@ -313,7 +313,7 @@ def khop2_overlap(spark, sf):
 SELECT a, b, round(CASE WHEN s IS NULL THEN -1.65 ELSE least(s, 12) END, 6) AS topology FROM pr LEFT JOIN ov USING (a, b)""",
 )
 def topology_weight_pairs(spark, sf):
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     neigh = graph.funder_neighbours(txs)
     pairs = refine.cospent_pairs(txs, _nodes(txs)).select("a", "b").distinct()
     return graph.topology_weight(pairs, neigh, graph.counterparty_bits(neigh)).withColumn("topology", F.round("topology", 6))
@@ -340,7 +340,7 @@ def graph_structure_auc(spark, sf):
     """Do addresses of one cluster share payment neighbours more than addresses of different clusters?"""
     from pyspark.sql import Window
 
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     clusters = change.address_clusters(txs)
     held = graph.held_out_pairs(clusters, graph.cospent_addresses(txs))
     order = Window.partitionBy(F.pmod(F.xxhash64("address"), F.lit(16))).orderBy(F.xxhash64("address", F.lit(3)), "address")
@@ -355,7 +355,7 @@ def graph_structure_auc(spark, sf):
 
 # --- the engine
 def _engine(spark, sf):
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     from sparkloom.operators.entities import hub_addresses
 
     return refine.refine(txs, _nodes(txs), neigh=graph.funder_neighbours(txs), hubs=hub_addresses(txs), demix=conservation.coinjoin_demix(txs), link_above=12.0)
@@ -408,7 +408,7 @@ def walk_candidates(spark, sf):
 
 
 def _signatures(spark, sf, depth=3):
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     return txs, provenance.signatures(txs, _coins(txs), depth)
 
 

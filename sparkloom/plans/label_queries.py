@@ -140,7 +140,7 @@ def universal_baseline_rates(spark, sf):
 
 
 def _joined(spark, sf):
-    txs = ledger.transactions(spark, sf)
+    txs = ledger.stored_transactions(spark, sf)
     truth = change.labelled(txs, change.label_type_match())
     return change.with_spender_features(truth, txs, F.struct(*(f().alias(k) for k, f in change.VOTE_AXES.items())))
 
@@ -191,7 +191,7 @@ def bootstrap_ci(spark, sf):
 
 # --- clusters of addresses (the slice of tiny lines keeps them from running together)
 def _slice(spark, sf):
-    return ledger.transactions(spark, sf)
+    return ledger.stored_transactions(spark, sf)
 
 
 

@@ -195,6 +195,16 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``transactions`` written once to the shared folder, for plans that read them several times."""
+    from sparkloom.operators.components import _folder
+
+    path = f"{_folder(spark)}/transactions"
+    txs = transactions(spark, sf_dir)
+    txs.write.parquet(path)
+    return spark.read.schema(txs.schema).parquet(path)
+
+
 #: The same relations as common table expressions: base, tx_out, tx_in, tx_head.
 SQL = """
 WITH base AS (
