@@ -33,6 +33,7 @@ from sparkloom.llm.common import table
 CACHE_WORDS = 200_000
 CACHE_PAIRS = 200_000
 GROUP_ROWS = 2048
+DECODE_ROWS = 512
 GROUP_CHARS = 2_000_000
 _NONE = 1 << 40
 _FEW = 48
@@ -266,7 +267,11 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         use = codec(path, pattern)
-        return pa.array([use.decode(x or b"") for x in column.to_pylist()], pa.binary())
+        parts = [
+            pa.array([use.decode(x or b"") for x in column.slice(k, DECODE_ROWS).to_pylist()], pa.binary())
+            for k in range(0, len(column), DECODE_ROWS)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return F.arrow_udf(run, "binary")(ids)
 
