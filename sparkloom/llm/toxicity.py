@@ -116,8 +116,8 @@ def features(text: str, learned: frozenset[str]) -> tuple[float, ...]:
 
 
 def _matrix(column: pa.Array, learned: frozenset[str]) -> np.ndarray:
-    texts = ["" if x is None else x for x in column.to_pylist()]
-    return np.array([features(x, learned) for x in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+    rows = [features(x or "", learned) for k in range(0, len(column), 512) for x in column.slice(k, 512).to_pylist()]
+    return np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
 
 
 def _features_udf(learned: frozenset[str]):
