@@ -38,7 +38,7 @@ from sparkloom.llm.common import ship, table
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 1 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 700_000
 GROUP = 128
 STEP_TOKENS = 16 * 2048
 
@@ -60,51 +60,24 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
         self.find = re.compile(WORD_PATTERN).findall
-        # 0x1c-0x1f are white space to str.split(), and not to the tokenizer
-        self.simple = re.compile(r"[\x00-\x1b\x20-\u024f]*").fullmatch
+        self.simple = re.compile(r"[\x00-\u024f]*").fullmatch
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
         self.most = cache_words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Words never merge across white space, so ids are kept by white-space chunk."""
-        get = self.chunks.get
-        found: list[tuple[list[str], list[bytes | None]] | bytes] = []
-        fresh: set[str] = set()
-        for text in texts:
-            if self.simple(text) and not ("<|" in text and any(s in text for s in self.specials)):
-                parts = text.lower().split()
-                ids = list(map(get, parts))
-                if None in ids:
-                    fresh.update(c for c, v in zip(parts, ids, strict=True) if v is None)
-                found.append((parts, ids))
-            else:
-                found.append(_packed(self.inner.encode(text, add_special_tokens=False).ids))
-        if len(self.chunks) + len(fresh) > self.most:  # drop the older half
-            self.chunks = dict(islice(self.chunks.items(), len(self.chunks) // 2, None))
-            get = self.chunks.get
-        if fresh:
-            self._learn_chunks(list(fresh))
-        extra = {c: v for c, v in zip(fresh, map(get, fresh), strict=True)} if fresh else {}
-        out = []
-        for x in found:
-            if isinstance(x, bytes):
-                out.append(x)
-            elif None in x[1]:
-                out.append(b"".join([extra[c] if v is None else v for c, v in zip(*x, strict=True)]))
-            else:
-                out.append(b"".join(x[1]))
-        return out
-
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        split = [self.find(c) for c in chunks]
-        fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > self.most // 2:
-            self.known.clear()
-            fresh = set().union(*split)
+        plain = [bool(self.simple(x)) and not ("<|" in x and any(s in x for s in self.specials)) for x in texts]
+        split = [self.find(x.lower()) if p else () for x, p in zip(texts, plain, strict=True)]
+        met = set().union(*split)
+        fresh = met.difference(self.known)
+        if len(self.known) + len(fresh) > self.most:  # drop the older half
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            fresh = met.difference(self.known)
         self._learn(list(fresh))
         known = self.known
-        self.chunks.update((c, b"".join([known[w] for w in words])) for c, words in zip(chunks, split, strict=True))
+        return [
+            b"".join([known[w] for w in words]) if p else _packed(self.inner.encode(x, add_special_tokens=False).ids)
+            for x, p, words in zip(texts, plain, split, strict=True)
+        ]
 
     def _learn(self, words: list[str]) -> None:
         """Many words go through the tokenizer as one text."""
