@@ -116,7 +116,7 @@ def witness_bits_by_era(spark, sf):
     for name in ("pre_segwit", "segwit", "taproot"):
         part = measure(txs.where(F.col("era") == name), named).withColumn("era", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("p", F.round("p", 6)).withColumn("bits", F.round("bits", 6))
 
 
 @query("locktime_vs_broadcast")
@@ -128,3 +128,20 @@ def locktime_vs_broadcast(spark, sf):
     )
     x = txs.join(blocks, "height", "left").select(axes.locktime_vs_broadcast().alias("value"))
     return x.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _era_sql() -> str:
+    from sparkloom.plans.axis_queries import _AXIS_SQL
+
+    names = ("low_r", "sighash", "nested_segwit", "pubkey_compression", "multisig")
+    vals = " UNION ALL ".join(f"SELECT '{k}' AS axis, txid, value FROM ({_AXIS_SQL[k]}) x{i}" for i, k in enumerate(names))
+    return ledger.SQL + f""", vals AS ({vals}), e AS (SELECT CASE WHEN height * 400 < 481824 THEN 'pre_segwit' WHEN height * 400 < 709632 THEN 'segwit' ELSE 'taproot' END AS era, txid FROM tx_head),
+c AS (SELECT era, axis, value, count(*) AS n FROM vals JOIN e USING (txid) GROUP BY ALL)
+SELECT era, axis, value, n, round(n / sum(n) OVER (PARTITION BY era, axis), 6) AS p, round(-log2(n / sum(n) OVER (PARTITION BY era, axis)), 6) AS bits FROM c"""
+
+
+ORACLE_SQL["witness_bits_by_era"] = _era_sql()
+ORACLE_SQL["locktime_vs_broadcast"] = ledger.SQL + """, r AS (SELECT *, CASE WHEN fee <> 0 THEN fee / (weight / 4.0) END AS rate FROM tx_head), b AS (SELECT height + 1 AS height, min(rate) AS least FROM r GROUP BY height),
+v AS (SELECT CASE WHEN b.height IS NULL THEN 'na' WHEN locktime = 0 THEN 'no_locktime' WHEN locktime >= 500000000 THEN 'timestamp' WHEN NOT coalesce(least < rate, false) THEN 'na_loose'
+  WHEN locktime > r.height + 1 THEN 'future' WHEN locktime >= r.height - 100 THEN 'matches' ELSE 'backdated' END AS value FROM r LEFT JOIN b ON b.height = r.height)
+SELECT value, count(*) AS n FROM v GROUP BY value"""

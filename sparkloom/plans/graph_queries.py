@@ -487,3 +487,59 @@ def fused_report(spark, sf):
     base = x.select("txid", F.size("vin").alias("n_in"), F.size("vout").alias("n_out"), F.round(amounts.ambiguity_bits(F.col("ranked")), 6).alias("ambiguity_bits"), amounts.partition_signal(F.col("ranked"))["payment"].alias("payment"))
     forced = conservation.forced_in_round(txs.where(F.size("vin") > 0).withColumn("known", F.get("vin", F.lit(0))["prevout"]["value"])).groupBy("txid").agg(F.sum(F.col("value") * F.col("forced")).alias("forced_value"))
     return base.join(entropy, "txid", "left").join(forced, "txid", "left")
+
+
+# --- SQL of the queries above that need the values of all axes
+def _values_sql(names) -> str:
+    from sparkloom.plans.axis_queries import _AXIS_SQL
+
+    return " UNION ALL ".join(f"SELECT '{k}' AS axis, txid, value FROM ({_AXIS_SQL[k]}) x{i}" for i, k in enumerate(names))
+
+
+def _library_sql() -> str:
+    """``lib(axis, value, p)`` of the wide axes, and ``miss(axis, bits)``, from the same constants."""
+    rows = ", ".join(f"('{a.name}', '{v}', {p!r}::DOUBLE)" for a in _wide() for v, p in a.shares.items())
+    return f"""lib(axis, value, p) AS (VALUES {rows}),
+miss AS (SELECT axis, least(0, log2(0.05 / greatest(1 - sum(p * p), 1e-6))) AS bits FROM lib GROUP BY axis)"""
+
+
+_FOLDED = f"""vals AS (SELECT axis, txid, CASE WHEN axis = 'locktime' AND starts_with(value, 'height') THEN 'height' ELSE value END AS value FROM ({_values_sql(sorted(_WIDE))}))"""
+_COMPARED = f"""{SQL}{_REUSE}, {_FOLDED}, {_library_sql()},
+cmp AS (SELECT r.a, r.b, x.axis, x.value = y.value AS same, lx.p, (lx.p IS NOT NULL OR ly.p IS NOT NULL) AS active, m.bits AS miss
+  FROM reuse r JOIN vals x ON x.txid = r.a JOIN vals y ON y.txid = r.b AND y.axis = x.axis JOIN miss m ON m.axis = x.axis
+  LEFT JOIN lib lx ON lx.axis = x.axis AND lx.value = x.value LEFT JOIN lib ly ON ly.axis = y.axis AND ly.value = y.value)
+"""
+ORACLE_SQL["fs_score_23axis_reuse_pairs"] = (
+    _COMPARED + "SELECT a, b, round(sum(CASE WHEN NOT active THEN 0 WHEN same THEN -log2(p) ELSE miss END), 6) AS bits FROM cmp GROUP BY a, b"
+)
+ORACLE_SQL["oracle_m"] = _COMPARED + "SELECT axis, round(avg(CAST(same AS DOUBLE)) FILTER (active), 6) AS m FROM cmp GROUP BY axis"
+ORACLE_SQL["fs_explain_cospent_pairs"] = (
+    SQL + _NODES + _SEQ + """, p AS (SELECT DISTINCT a, b FROM pairs)
+SELECT a, b, 'nsequence' AS axis, fa.s AS va, fb.s AS vb, round(CASE WHEN fa.s = fb.s THEN (SELECT bits FROM sb WHERE v = fa.s) ELSE ms END, 6) AS bits FROM p JOIN feat fa ON fa.txid = a JOIN feat fb ON fb.txid = b, cfg
+UNION ALL SELECT a, b, 'locktime', fa.l, fb.l, round(CASE WHEN fa.l = fb.l THEN CASE WHEN fa.l = 'zero' THEN bz ELSE bh END ELSE ml END, 6) FROM p JOIN feat fa ON fa.txid = a JOIN feat fb ON fb.txid = b, cfg
+UNION ALL SELECT a, b, 'in_order', fa.o, fb.o, round(CASE WHEN fa.o IN ('single', 'small_n') OR fb.o IN ('single', 'small_n') THEN NULL WHEN fa.o = fb.o THEN (SELECT bits FROM ob WHERE v = fa.o) ELSE mo END, 6) FROM p JOIN feat fa ON fa.txid = a JOIN feat fb ON fb.txid = b, cfg"""
+)
+ORACLE_SQL["walk_frontier"] = SQL + """, s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({'t': txid, 'v': vin}).t AS spender FROM tx_in GROUP BY ALL),
+sp AS (SELECT s.*, n_in >= 20 AND n_out >= 20 AS mix FROM s JOIN tx_head h ON h.txid = s.spender),
+l0 AS (SELECT txid || ':' || vout AS seed, txid, vout FROM tx_out),
+e0 AS (SELECT l0.*, spender, mix FROM l0 LEFT JOIN sp USING (txid, vout)),
+l1 AS (SELECT DISTINCT seed, o.txid, o.vout FROM e0 JOIN tx_out o ON o.txid = e0.spender WHERE NOT mix),
+e1 AS (SELECT l1.*, spender, mix FROM l1 LEFT JOIN sp USING (txid, vout)),
+l2 AS (SELECT DISTINCT seed, o.txid, o.vout FROM e1 JOIN tx_out o ON o.txid = e1.spender WHERE NOT mix EXCEPT SELECT seed, txid, vout FROM l1),
+e2 AS (SELECT l2.*, spender, mix FROM l2 LEFT JOIN sp USING (txid, vout)),
+st AS (SELECT 0 AS depth, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' END AS reason FROM e0
+  UNION ALL SELECT 1, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' END FROM e1
+  UNION ALL SELECT 2, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' ELSE 'depth' END FROM e2)
+SELECT reason, depth, count(*) AS n FROM st WHERE reason IS NOT NULL GROUP BY ALL"""
+ORACLE_SQL["cluster_bits_summary"] = """WITH RECURSIVE t AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_quantity <= 3),
+sym AS (SELECT DISTINCT x.p AS a, y.p AS b FROM t x JOIN t y USING (k)),
+reach(x, y) AS (SELECT p, p FROM t UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y),
+comp AS (SELECT x AS node, min(y) AS cluster FROM reach GROUP BY x),
+pay AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_quantity <= 3 AND b.l_quantity >= 36),
+big AS (SELECT cluster FROM comp GROUP BY cluster HAVING count(*) >= 2),
+ext AS (SELECT DISTINCT cluster, dst FROM comp JOIN big USING (cluster) JOIN pay ON src = node),
+outside AS (SELECT e.* FROM ext e WHERE NOT EXISTS (SELECT 1 FROM comp c WHERE c.cluster = e.cluster AND c.node = e.dst)),
+w AS (SELECT dst, -log2(count(DISTINCT src) / (SELECT count(DISTINCT src) FROM pay)) AS bits FROM pay GROUP BY dst),
+g AS (SELECT cluster, sum(bits) AS bits FROM outside JOIN w USING (dst) GROUP BY cluster HAVING sum(bits) > 0)
+SELECT count(*) AS clusters, round(median(bits), 6) AS median, round(max(bits), 6) AS most, round(avg(CAST(bits >= 1.6 AS DOUBLE)), 6) AS share_1_6,
+ round(avg(CAST(bits >= 10 AS DOUBLE)), 6) AS share_10, round(avg(CAST(bits >= 50 AS DOUBLE)), 6) AS share_50, round(avg(CAST(bits >= 100 AS DOUBLE)), 6) AS share_100 FROM g"""

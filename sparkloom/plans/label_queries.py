@@ -173,7 +173,7 @@ def output_score_auc(spark, sf):
     truth = change.labelled(txs, change.label_type_match())
     x = change.with_spender_features(truth, txs, evidence.features(evidence.NARROW)).where("post0 is not null and post1 is not null")
     s = [evidence.score(evidence.narrow_axes(), "own", f"post{i}") for i in range(2)]
-    x = x.withColumn("s0", s[0]).withColumn("s1", s[1])
+    x = x.withColumn("s0", F.round(s[0], 9)).withColumn("s1", F.round(s[1], 9))
     both = F.array(
         F.struct(F.col("s0").alias("score"), (F.col("change_index") == 0).alias("positive")),
         F.struct(F.col("s1").alias("score"), (F.col("change_index") == 1).alias("positive")),
@@ -372,3 +372,55 @@ def rank_by_overlap(spark, sf):
 def candidate_coins(spark, sf):
     txs = ledger.transactions(spark, sf)
     return conservation.candidate_coins(txs, _seeds(txs))
+
+
+# --- SQL of queries above that need more than one relation
+def _vote_sql() -> str:
+    from sparkloom.plans.axis_queries import _AXIS_SQL
+
+    vals = " UNION ALL ".join(f"SELECT '{k}' AS axis, txid, value FROM ({_AXIS_SQL[k]}) x{i}" for i, k in enumerate(change.VOTE_AXES))
+    return _CAND + f""", s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({{'t': txid, 'v': vin}}).t AS spender FROM tx_in GROUP BY ALL),
+vals AS ({vals}), truth AS (SELECT txid, ci FROM lab WHERE name = 'type_match' AND ci IS NOT NULL),
+m AS (SELECT o.axis, t.txid, t.ci, coalesce(p0.value = o.value, false) AS m0, coalesce(p1.value = o.value, false) AS m1
+  FROM truth t JOIN vals o ON o.txid = t.txid LEFT JOIN s s0 ON s0.txid = t.txid AND s0.vout = 0 LEFT JOIN vals p0 ON p0.txid = s0.spender AND p0.axis = o.axis
+  LEFT JOIN s s1 ON s1.txid = t.txid AND s1.vout = 1 LEFT JOIN vals p1 ON p1.txid = s1.spender AND p1.axis = o.axis),
+votes AS (SELECT axis, ci, CASE WHEN m0 AND NOT m1 THEN 0 WHEN m1 AND NOT m0 THEN 1 END AS vote FROM m)
+""" + _RATES
+
+
+ORACLE_SQL["axis_vote_rates_all"] = SQL + _vote_sql()
+
+
+def _auc_sql() -> str:
+    from sparkloom.plans.graph_queries import _FP, _SEQ
+
+    return _CAND + _SEQ + f""", s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({{'t': txid, 'v': vin}}).t AS spender FROM tx_in GROUP BY ALL),
+truth AS (SELECT l.txid, ci, s0.spender AS p0, s1.spender AS p1 FROM lab l JOIN s s0 ON s0.txid = l.txid AND s0.vout = 0 JOIN s s1 ON s1.txid = l.txid AND s1.vout = 1 WHERE name = 'type_match' AND ci IS NOT NULL),
+halves AS (SELECT txid, p0 AS post, ci = 0 AS positive FROM truth UNION ALL SELECT txid, p1, ci = 1 FROM truth),
+sc AS (SELECT positive, round({_FP}, 9) AS score FROM halves d JOIN feat fa ON fa.txid = d.txid JOIN feat fb ON fb.txid = d.post, cfg)
+SELECT round(sum(CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc,
+  (SELECT count(*) FROM sc WHERE positive) AS n_pos, (SELECT count(*) FROM sc WHERE NOT positive) AS n_neg
+FROM sc x JOIN sc y ON x.positive AND NOT y.positive"""
+
+
+ORACLE_SQL["coinjoin_demix"] = SQL + """, m AS (SELECT txid, value AS mix, count(*) AS n, min(vout) AS first FROM tx_out GROUP BY ALL),
+mix AS (SELECT txid, mix FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY n DESC, first) AS k FROM m) WHERE k = 1 AND n >= 3),
+v AS (SELECT i.txid, i.vin, o.value AS change FROM tx_in i JOIN mix USING (txid) JOIN tx_out o ON o.txid = i.txid AND o.value <> mix WHERE mix + o.value - i.value BETWEEN 1 AND 2000)
+SELECT txid, vin AS input_index, change FROM (SELECT *, count(*) OVER (PARTITION BY txid, vin) AS a, count(*) OVER (PARTITION BY txid, change) AS b FROM v) WHERE a = 1 AND b = 1"""
+ORACLE_SQL["detect_mining_pool"] = SQL + """SELECT txid, 'f2pool' AS entity, (SELECT address FROM tx_out o WHERE o.txid = h.txid AND address IS NOT NULL ORDER BY value DESC, vout LIMIT 1) AS payout FROM tx_head h WHERE n_in = 0"""
+ORACLE_SQL["detect_bip47_notification"] = SQL + "SELECT txid, CAST(NULL AS VARCHAR) AS recipient FROM tx_head WHERE false  -- the tables have no scripts"
+
+_CLUSTERED = """, ia AS (SELECT DISTINCT txid, address AS a FROM tx_in), sym AS (SELECT DISTINCT x.a AS a, y.a AS b FROM ia x JOIN ia y USING (txid)),
+reach(x, y) AS (SELECT a, a FROM ia UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y), comp AS (SELECT x AS address, min(y) AS cluster FROM reach GROUP BY x),
+root AS (SELECT txid, min(cluster) AS root FROM ia JOIN comp ON comp.address = ia.a GROUP BY txid),
+two AS (SELECT c.txid, r.root, a0, a1, coalesce(c0.cluster = r.root, false) AS in0, coalesce(c1.cluster = r.root, false) AS in1
+  FROM cand c JOIN root r USING (txid) LEFT JOIN comp c0 ON c0.address = a0 LEFT JOIN comp c1 ON c1.address = a1),
+share AS (SELECT root, avg(CAST(in0 AND in1 AS DOUBLE)) AS share FROM two GROUP BY root)
+"""
+_RSQL = SQL.replace("WITH base", "WITH RECURSIVE base", 1)
+ORACLE_SQL["two_change_frac"] = _RSQL + _CAND + _CLUSTERED + "SELECT root, round(share, 6) AS share FROM share"
+ORACLE_SQL["change_gt_mn"] = _RSQL + _CAND + _CLUSTERED + """, one AS (SELECT *, CASE WHEN in0 AND NOT in1 THEN 0 WHEN in1 AND NOT in0 THEN 1 END AS ci FROM two),
+fresh AS (SELECT *, CASE WHEN ci = 0 THEN a0 ELSE a1 END AS ca FROM one WHERE ci IS NOT NULL), uses AS (SELECT address, count(*) AS n FROM tx_out WHERE address IS NOT NULL GROUP BY address)
+SELECT f.txid, CAST(ci AS INTEGER) AS change_index, CASE WHEN n > 1 THEN 'reused_change' WHEN share > 0.10 THEN 'twochange_cluster' ELSE 'kept' END AS verdict
+FROM fresh f JOIN uses ON uses.address = ca JOIN share USING (root) WHERE NOT EXISTS (SELECT 1 FROM ia WHERE ia.txid = f.txid AND ia.a = ca)"""
+ORACLE_SQL["output_score_auc"] = SQL + _auc_sql()
