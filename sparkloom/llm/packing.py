@@ -39,7 +39,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 1 << 20
 CACHE_WORDS = 700_000
-GROUP = 128
+GROUP = 16
 STEP_TOKENS = 16 * 2048
 
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -73,9 +73,9 @@ class WordTokenizer:
             self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
             fresh = met.difference(self.known)
         self._learn(list(fresh))
-        known = self.known
+        get = self.known.__getitem__
         return [
-            b"".join([known[w] for w in words]) if p else _packed(self.inner.encode(x, add_special_tokens=False).ids)
+            b"".join(map(get, words)) if p else _packed(self.inner.encode(x, add_special_tokens=False).ids)
             for x, p, words in zip(texts, plain, split, strict=True)
         ]
 
