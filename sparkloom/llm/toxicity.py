@@ -36,7 +36,7 @@ LEXICON = frozenset(
     (
         "idiot idiots moron morons stupid dumb dumbass loser losers pathetic worthless trash garbage scum vermin "
         "disgusting filthy ugly clown fool imbecile retard bastard bitch whore slut asshole shit fuck fucking cunt "
-        "dick crap hate kill die murder rape destroy "
+        "crap hate kill murder rape destroy "
         "idiote connard connasse salope putain merde débile crétin abruti ordure enculé pute "
         "idioten dumm dummkopf arschloch scheiße hure schlampe fotze wichser abschaum miststück "
         "idiota estúpido estúpida imbécil mierda puta puto cabrón pendejo basura asqueroso maldito gilipollas"
