@@ -358,7 +358,7 @@ def _engine(spark, sf):
     txs = ledger.stored_transactions(spark, sf)
     from sparkloom.operators.entities import hub_addresses
 
-    return refine.refine(txs, _nodes(txs), neigh=graph.funder_neighbours(txs), hubs=hub_addresses(txs), demix=conservation.coinjoin_demix(txs), link_above=12.0)
+    return refine.refine(txs, _nodes(txs), neigh=graph.funder_neighbours(txs), hubs=hub_addresses(txs), demix=conservation.coinjoin_demix(txs))
 
 
 @query("refine_groups")
@@ -373,7 +373,10 @@ def refine_refused(spark, sf):
 
 @query("refine_linked")
 def refine_linked(spark, sf):
-    return _engine(spark, sf).linked
+    """The links don't depend on the rounds, so they are not run."""
+    txs = ledger.stored_transactions(spark, sf)
+    nodes = _nodes(txs)
+    return refine.missed_links(txs, nodes, refine.cospent_pairs(txs, nodes))
 
 
 @query("overcount_report")

@@ -6,12 +6,14 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from sparkloom.functions import amounts, axes, evidence, library
 from sparkloom.operators import change, conservation, entities, graph, metrics, mixture, provenance, refine, temporal
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.measure import entropy, measure
+from sparkloom.plans import catalogue
 from sparkloom.sources import exports
 
 TX = (
@@ -293,6 +295,37 @@ def test_engine_links_without_cospend(spark):
     assert {r.node: r.cluster for r in got.groups.collect()} == {"a": "a", "b": "a", "c": "c"}
 
 
+def test_link_stars_have_the_components_of_all_links(spark):
+    """Random worlds in one frame, many of them with hubs that were spent together."""
+    rng = random.Random(5)
+    of, strong, pairs, want = [], [], [], {}
+    for w in range(400):
+        names = [f"w{w}-{i}" for i in range(rng.randint(2, 7))]
+        kind = {n: f"w{w}-{rng.choice('AB')}" for n in names}
+        ways = {x for x in ((f"w{w}-A", f"w{w}-A"), (f"w{w}-A", f"w{w}-B"), (f"w{w}-B", f"w{w}-B")) if rng.random() < 0.5}
+        ways |= {(b, a) for a, b in ways}
+        share = rng.choice([0.1, 0.5, 0.8])
+        spent = {(a, b) for a in names for b in names if a < b and rng.random() < share}
+        label = {n: n for n in names}
+        for a in names:
+            for b in names:
+                if a < b and (a, b) not in spent and (kind[a], kind[b]) in ways:
+                    lo, hi = sorted((label[a], label[b]))
+                    label = {n: lo if x == hi else x for n, x in label.items()}
+        want |= label
+        of, strong, pairs = of + list(kind.items()), strong + sorted(ways), pairs + sorted(spent)
+    edges = refine.link_stars(
+        spark.createDataFrame(of, "node string, f string"), spark.createDataFrame(strong, "fa string, fb string"), spark.createDataFrame(pairs, "a string, b string")
+    )
+    got = connected_components(edges, nodes=spark.createDataFrame([(n,) for n in want], "node string"))
+    assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_registered_engine_links_from_the_default_on(spark):
+    got = catalogue.QUERIES["refine_linked"](spark, SF).agg(F.min("score").alias("least"), F.count_if(F.col("score") < 12).alias("weak")).first()
+    assert got.least >= refine.LINK_ABOVE and got.weak > 0
+
+
 def test_hubs_prove_nothing(spark):
     neigh = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("c", "z")], "node string, cp string")
     hubs = spark.createDataFrame([("hub",)], "address string")
