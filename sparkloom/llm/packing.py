@@ -61,12 +61,14 @@ class WordTokenizer:
         self.specials = tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
         self.find = re.compile(WORD_PATTERN).findall
         self.simple = re.compile(r"[\x00-\u024f]*").fullmatch
+        self.stays_simple = re.compile(r"[\x00-\u024f\u0307]*").fullmatch  # some capitals have small letters beyond
         self.known: dict[str, bytes] = {}
         self.most = cache_words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(self.simple(x)) and not ("<|" in x and any(s in x for s in self.specials)) for x in texts]
-        split = [self.find(x.lower()) if p else () for x, p in zip(texts, plain, strict=True)]
+        low = [x.lower() for x in texts]
+        plain = [bool(self.simple(x) and self.stays_simple(y)) and not ("<|" in x and any(s in x for s in self.specials)) for x, y in zip(texts, low, strict=True)]
+        split = [self.find(y) if p else () for y, p in zip(low, plain, strict=True)]
         met = set().union(*split)
         fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > self.most:  # drop the older half

@@ -398,6 +398,12 @@ def test_word_tokenizer_equals_the_library():
     assert own.encode(texts) == [np.array(own.inner.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
 
+def test_word_tokenizer_equals_the_library_for_each_character():
+    own = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    texts = [x for c in map(chr, range(0x250)) for x in (c, f"{c}kra", f"a{c}b {c} 1{c}")]
+    assert own.encode(texts) == [np.array(own.inner.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+
 def test_step_groups_are_even():
     rng = random.Random(0)
     packer = packing.Packer()
