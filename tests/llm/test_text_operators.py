@@ -102,6 +102,15 @@ def test_url_filter(spark, inline):
     assert url_filter.judge(df.limit(0), inline_rules=inline).count() == 0
 
 
+def test_url_paths_begin_after_the_first_scheme(spark):
+    urls = ["http://x.com?next=http://y.net/de/p", "http://x.com#http://y.net/de/p", "http://x.com?a=/b", "http://x.com", "http://x.com/de/?u=a://b/c"]
+    got = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, best = slow_judge(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, best[0] if best else None), r
+
+
 # --- 2 byte BPE
 
 
