@@ -410,9 +410,9 @@ def walk_candidates(spark, sf):
     return got.select("txid", "seeds", F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"))
 
 
-def _signatures(spark, sf, depth=3):
+def _signatures(spark, sf):
     txs = ledger.stored_transactions(spark, sf)
-    return txs, provenance.signatures(txs, _coins(txs), depth)
+    return txs, provenance.signatures(txs, _coins(txs))
 
 
 @query("ancestry_signature")

@@ -14,7 +14,7 @@ from sparkloom.operators import change, conservation, entities, graph, metrics,
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.measure import entropy, measure
 from sparkloom.plans import catalogue
-from sparkloom.sources import exports
+from sparkloom.sources import exports, ledger
 
 TX = (
     "txid string, height bigint, version int, locktime bigint, fee bigint, weight bigint, "
@@ -363,6 +363,15 @@ def test_signatures(spark):
     assert (e.shannon, e.min_entropy, e.n_absorbers, e.truncated) == (1.0, 1.0, 2, 0)
 
 
+def test_registered_signatures_walk_back_six_transactions(spark, monkeypatch):
+    """Chains whose coins have one origin each: the coin six transactions back, or the one before the chain."""
+    coins = [f"{k}:0" for k in ("root", *"abcdefgh")]
+    txs = frame(spark, *(tx(c[0], [vin(before.split(":")[0], 5, vout=0)], [out(5, "x")]) for before, c in zip(coins, coins[1:])))
+    monkeypatch.setattr(ledger, "stored_transactions", lambda *_: txs)
+    got = catalogue.QUERIES["ancestry_signature"](spark, "").collect()
+    assert {(r.target, r.ancestor, r.mass) for r in got} == {(c, coins[max(0, k - 6)], 1.0) for k, c in enumerate(coins) if k}
+
+
 def test_walk_and_intersection(spark):
     rows = [tx("A", [], [out(1, "a")]), tx("B", [], [out(1, "b")]), tx("S", [vin("A", 1), vin("B", 1)], [out(2, "s")])]
     txs = frame(spark, *rows)
