@@ -329,12 +329,30 @@ def cluster_bits_summary(spark, sf):
     ).select("src", "dst").distinct()
     got = graph.cluster_bits(tiny, pay).where("bits > 0")
     del txs
+    return _bits_summary(got)
+
+
+def _bits_summary(got):
     return got.agg(
         F.count("*").alias("clusters"), F.round(F.percentile("bits", F.lit(0.5)), 6).alias("median"), F.round(F.max("bits"), 6).alias("most"),
         *(F.round(F.avg((F.col("bits") >= t).cast("double")), 6).alias(f"share_{str(t).replace('.', '_')}") for t in (1.6, 10, 50, 100)),
     )
 
 
+@query("components_all_addresses")
+def components_all_addresses(spark, sf):
+    """As components_addresses, over all input addresses of the ledger."""
+    return change.address_clusters(ledger.stored_transactions(spark, sf)).toDF("node", "component")
+
+
+@query("cluster_bits_all_addresses")
+def cluster_bits_all_addresses(spark, sf):
+    """As cluster_bits_summary, over all input addresses and payments of the ledger."""
+    txs = ledger.stored_transactions(spark, sf)
+    members = change.address_clusters(txs).toDF("node", "cluster")
+    return _bits_summary(graph.cluster_bits(members, graph.pay_edges(txs)).where("bits > 0"))
+
+
 @query("graph_structure_auc")
 def graph_structure_auc(spark, sf):
     """Do addresses of one cluster share payment neighbours more than addresses of different clusters?"""

@@ -326,6 +326,38 @@ def test_registered_engine_links_from_the_default_on(spark):
     assert got.least >= refine.LINK_ABOVE and got.weak > 0
 
 
+def test_address_queries_read_the_whole_ledger(spark):
+    spent = {}
+    for r in ledger.inputs(spark, SF).select("txid", "address").where("address is not null").distinct().collect():
+        spent.setdefault(r.txid, []).append(r.address)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for group in spent.values():
+        for x in group:
+            lo, hi = sorted((top(group[0]), top(x)))
+            root[hi] = lo
+    want = {x: top(x) for x in root}
+    got = {r.node: r.component for r in catalogue.QUERIES["components_all_addresses"](spark, SF).collect()}
+    assert got == want and len(got) > catalogue.QUERIES["components_addresses"](spark, SF).count()
+    touch, outside = {}, {}
+    for r in graph.pay_edges(ledger.transactions(spark, SF)).collect():
+        touch.setdefault(r.dst, set()).add(r.src)
+    nodes = len(set().union(*touch.values()))
+    sizes = [*want.values()]
+    big = {c for c in set(sizes) if sizes.count(c) >= 2}
+    for dst, srcs in touch.items():
+        for c in {want.get(x) for x in srcs} & big - {want.get(dst)}:
+            outside[c] = outside.get(c, 0.0) - math.log2(len(srcs) / nodes)
+    bits = [b for b in outside.values() if b > 0]
+    r = catalogue.QUERIES["cluster_bits_all_addresses"](spark, SF).first()
+    assert r.clusters == len(bits) and (not bits or math.isclose(r.most, max(bits), abs_tol=1e-5) and math.isclose(r.median, float(np.median(bits)), abs_tol=1e-5))
+
+
 def test_hubs_prove_nothing(spark):
     neigh = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("c", "z")], "node string, cp string")
     hubs = spark.createDataFrame([("hub",)], "address string")
