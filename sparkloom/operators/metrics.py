@@ -80,7 +80,7 @@ def expected_calibration_error(scored: DataFrame, p: str = "p", label: str = "la
     return x.agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def bootstrap_rates(flags: DataFrame, columns: list[str], rounds: int = 200, seed: int = 0, key: str = "txid") -> DataFrame:
+def bootstrap_rates(flags: DataFrame, columns: list[str], rounds: int = 2000, seed: int = 0, key: str = "txid") -> DataFrame:
     """``(name, low, mid, high)``: 95 % intervals of means by a Poisson bootstrap whose draws a row's key decides."""
     draw = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
     u = (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)

@@ -155,7 +155,7 @@ def em_fit(spark, sf):
 @query("gibbs_fit")
 def gibbs_fit(spark, sf):
     pairs, wide = _agreements(spark, sf)
-    got = mixture.gibbs_fit(mixture.patterns(pairs), [k.collision for k in wide], draws=600, burn=200)
+    got = mixture.gibbs_fit(mixture.patterns(pairs), [k.collision for k in wide])
     rows = [(k.name, float(m), float(lo), float(hi)) for k, m, lo, hi in zip(wide, got["m"], got["low"], got["high"], strict=True)]
     return spark.createDataFrame(rows, "axis string, m double, low double, high double")
 

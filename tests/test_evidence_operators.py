@@ -1,5 +1,6 @@
 """Operators on small hand-made transactions with known results."""
 
+import inspect
 import json
 import math
 import random
@@ -358,6 +359,19 @@ def test_address_queries_read_the_whole_ledger(spark):
     assert r.clusters == len(bits) and (not bits or math.isclose(r.most, max(bits), abs_tol=1e-5) and math.isclose(r.median, float(np.median(bits)), abs_tol=1e-5))
 
 
+def test_intervals_take_all_draws(spark, monkeypatch):
+    asked, fit = {}, mixture.gibbs_fit
+
+    def noted(counted, u, **more):
+        asked.update(inspect.signature(fit).bind(counted, u, **more).arguments)
+        return {"m": u, "low": u, "high": u}
+
+    monkeypatch.setattr(mixture, "gibbs_fit", noted)
+    catalogue.QUERIES["gibbs_fit"](spark, SF)
+    assert (asked.get("draws", 2000), asked.get("burn", 500)) == (2000, 500)
+    assert inspect.signature(metrics.bootstrap_rates).parameters["rounds"].default == 2000
+
+
 def test_hubs_prove_nothing(spark):
     neigh = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("c", "z")], "node string, cp string")
     hubs = spark.createDataFrame([("hub",)], "address string")
