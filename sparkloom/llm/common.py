@@ -8,24 +8,30 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key counts as hot from this part of all rows on, so there are at most so many hot keys.
+HOT_PARTS = 1_000
+#: Bits of a membership table (64 MB when it is broadcast), and bits set aside per member below that.
+MOST_BITS, BITS_PER_MEMBER = 1 << 29, 16
+_BUCKET_BITS = 15
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Where the session names none, a local master gets a temporary folder; a cluster is an error, since its
+    executors would each write to a disk of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        base = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext.getCheckpointDir()
-    return base
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -74,3 +80,92 @@ def utf8_list(column: pa.Array) -> list[bytes]:
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def no_clash(column: str, results: tuple[str, ...]) -> None:
+    """An input column that keeps its name in the result must not be called like a result column."""
+    if column in results:
+        raise ValueError(f"the column {column!r} has the name of a result column; rename it first")
+
+
+# --- places of rows
+
+
+def located(docs: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """``docs`` and the place of each row: (file, row number in it).
+
+    Rows that come straight from Parquet files lie where they are; others are written once below the shared
+    folder.  A place names one row even where all its values repeat.
+    """
+    place = _place(docs)
+    if place is None:
+        docs = stored(docs, name)
+        place = _place(docs)
+    return docs, place
+
+
+def _place(docs: DataFrame) -> Column | None:
+    try:
+        meta = docs.metadataColumn("_metadata")
+        place = F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+        docs.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
+def bits_of(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A membership table (bucket, bits) over the hashes of ``keys``, and its number of bits.
+
+    It has at most ``MOST_BITS`` bits, whatever the number of keys: a member is always found, and what it finds
+    besides grows with the share of bits that are set.
+    """
+    wanted = max(keys.count() * BITS_PER_MEMBER, 1)
+    n_bits = min(MOST_BITS, 1 << max(_BUCKET_BITS, (wanted - 1).bit_length()))
+    slot = _slot(F.col(key), n_bits)
+    at = keys.select(F.shiftright(slot, _BUCKET_BITS).alias("bucket"), slot.bitwiseAND((1 << _BUCKET_BITS) - 1).alias("at"))
+    return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), n_bits
+
+
+def _slot(key: Column, n_bits: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(n_bits - 1)
+
+
+def flagged(rows: DataFrame, key: Column, bits: DataFrame, n_bits: int, flag: str) -> DataFrame:
+    """``rows`` with a boolean column: whether the key may be a member.  The table is broadcast; no row moves."""
+    slot = _slot(key, n_bits)
+    at = rows.withColumn("__bucket", F.shiftright(slot, _BUCKET_BITS)).withColumn("__at", slot.bitwiseAND((1 << _BUCKET_BITS) - 1).cast("int"))
+    met = at.join(F.broadcast(bits.toDF("__bucket", "__bits")), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(`__byte`, `__at` & 7) & 1") == 1
+    return met.withColumn("__byte", byte).withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__bucket", "__at", "__bits", "__byte")
+
+
+def without_places(docs: DataFrame, place: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose place isn't in ``gone`` (column place); ``docs`` and ``place`` from ``located``.
+
+    A bounded membership table lets all other rows pass where they are; only rows that it flags are moved and
+    compared exactly.
+    """
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = docs.select(*(F.col(f"`{n}`").alias(i) for n, i in zip(names, inner, strict=True)), place.alias("place"))
+    bits, n_bits = bits_of(gone, "place")
+    marked = flagged(rows, F.col("place"), stored(bits, "places-bits"), n_bits, "__flag")
+    free = marked.where("not `__flag`").select(*inner)
+    held = marked.where("`__flag`").join(gone.select("place"), "place", "left_anti").select(*inner)
+    return free.unionByName(held).toDF(*names)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, parts: int = HOT_PARTS) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, which has a row per key and in ``weight`` its number of rows.
+
+    Keys with more than 1 / ``parts`` of the whole weight, of which there are fewer than ``parts``, are broadcast,
+    so no task gets all rows of a hot key; the others are joined by a shuffle.  ``keyed`` is read several times:
+    give a stored table.
+    """
+    total = keyed.agg(F.sum(weight).alias("__total"))
+    hot = keyed.crossJoin(F.broadcast(total)).where(F.col(weight) * parts > F.col("__total")).drop("__total")  # one row
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key, "left")
+    return many.unionByName(few)

@@ -13,8 +13,10 @@ within d // 2 bits of one and (d + 1) // 2 bits of the other; around every such
 one near member by ordinary aggregations and joins, which spread over all executors.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other;
-texts of fewer words than a shingle are one shingle; repeated rows are kept as rows; an empty table gives an
-empty result; a null id is never the least id of a group unless the group has no other.
+texts of fewer words than a shingle are one shingle; repeated rows are rows of the result, but ``keep_one``
+leaves one of them; an empty table gives an empty result; a null id is never the least id of a group unless the
+group has no other; of a very long text the hashes are counted in parts; other columns are not read and may have
+any names, an identifier column called like a result column is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored, table, utf8_list
+from sparkloom.llm.common import join_hot, located, no_clash, stored, table, utf8_list, without_places
 from sparkloom.operators.components import connected_components
 
 SHINGLE = 3
@@ -70,7 +72,7 @@ def fingerprint_column(text_col: str, shingle: int = SHINGLE) -> Column:
         found = np.array([fingerprint(x, shingle) for x in utf8_list(column)], dtype=np.uint64)
         return pa.array(found.view(np.int64), pa.int64())
 
-    return F.arrow_udf(run, "bigint")(F.col(text_col).cast("string"))
+    return F.arrow_udf(run, "bigint")(F.col(f"`{text_col}`").cast("string"))
 
 
 def _widths(blocks: int) -> list[tuple[int, int]]:
@@ -215,6 +217,17 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
     return plain.unionByName(_overfull_links(filed, overfull, distance, masks))
 
 
+def _classes(marked: DataFrame, least: Column, distance: int, blocks: int, bucket_limit: int) -> DataFrame:
+    """(fp, n, first) per fingerprint of ``marked`` (fp, ...): its number of rows, and the least ``least`` of its component."""
+    classes = stored(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(least).alias("least")), "simhash-classes")
+    pairs = links(classes.select("fp"), distance, blocks, bucket_limit)
+    parts = stored(connected_components(pairs, "src", "dst").toDF("fp", "root"), "simhash-parts")
+    linked = stored(classes.join(parts, "fp").select("fp", "root", "least"), "simhash-linked")
+    groups = stored(linked.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("first")), "simhash-groups")
+    of_linked = join_hot(linked.select("fp", "root"), groups, "root", "members").select("fp", "first")
+    return stored(classes.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("first")), "simhash-verdicts")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -225,23 +238,30 @@ def near_duplicates(
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """``(id_col, fp, component_id)``, a row per row of ``docs``; component_id is the least id of the group."""
+    no_clash(id_col, ("fp", "component_id"))
+    marked = stored(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_col, shingle).alias("fp")), "simhash-prints")
+    verdict = _classes(marked, F.col("id"), distance, blocks, bucket_limit)
+    return join_hot(marked, verdict, "fp", "n").select(F.col("id").alias(id_col), "fp", F.col("first").alias("component_id"))
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    blocks: int = BLOCKS,
+    bucket_limit: int = BUCKET_LIMIT,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of each group exactly one, of the least id."""
+    docs, place = located(docs, "simhash-rows")
     marked = stored(
-        docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp")), "simhash-prints"
+        docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_col, shingle).alias("fp"), place.alias("place")), "simhash-prints"
     )
-    classes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    pairs = links(classes.select("fp"), distance, blocks, bucket_limit)
-    parts = connected_components(pairs, "src", "dst").toDF("fp", "root")
-    joined = classes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    verdict = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(verdict, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    mine = F.struct(F.col("id").isNull().alias("unnamed"), "id", "place")
+    verdict = _classes(marked, mine, distance, blocks, bucket_limit)
+    found = join_hot(marked, verdict, "fp", "n")
+    return without_places(docs, place, stored(found.where("place != first.place").select("place"), "simhash-gone"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
