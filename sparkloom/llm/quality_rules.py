@@ -6,13 +6,14 @@ good/bad state, how each rule votes in either state, and a document is kept when
 being good reaches ``threshold``.  A text that fails the base test (``min_words``, or over half of its words
 inside repeated three-word windows) is never kept.
 
-Plan: one Arrow pass turns texts into counts; votes are column expressions; documents are pre-aggregated to
-vote patterns, of which there are at most 3^(number of rules), so only those counts reach the driver.  The
-posterior is again a column expression.  Nothing is shuffled but the pattern counts.
+Plan: one Arrow pass turns texts into counts, which are written once, since they are read twice; votes are column
+expressions; documents are pre-aggregated to vote patterns, of which there are at most 3^(number of rules), so
+only those counts reach the driver.  The posterior is again a column expression.  Nothing is shuffled but the
+pattern counts.
 
 Edge cases: null text counts as empty; an empty text has no words and fails the base test; an empty table
-gives an empty result; repeated rows are judged alike; columns of the input that share a name with a result
-column are replaced by it.
+gives an empty result; repeated rows are judged alike; a very long text is counted whole, in memory that grows
+with its number of words; columns of the input that share a name with a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table, utf8_list
+from sparkloom.llm.common import stored, table, utf8_list
 from sparkloom.llm.text_stats import FIELDS, text_stats
 
 MIN_WORDS = 50
@@ -113,16 +114,11 @@ def fit(counted: DataFrame, s: str = "stats") -> tuple[float, dict[str, tuple[fl
     return math.log(good / (1 - good)), {k: tuple(map(float, ratio[i])) for i, k in enumerate(names)}
 
 
-def judge(
-    docs: DataFrame,
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    min_words: int = MIN_WORDS,
-    max_repeat_percent: int = MAX_REPEAT_PERCENT,
+def verdicts(
+    counted: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT
 ) -> DataFrame:
-    """``docs`` with the columns stats, base_failed, quality_posterior and kept."""
-    counted = docs.withColumn("stats", stats_column(text_col))
-    bias, weights = fit(docs.select(stats_column(text_col).alias("stats")))
+    """``counted``, a stored table with the struct column stats, with base_failed, quality_posterior and kept."""
+    bias, weights = fit(counted)
     logit = F.lit(bias)
     for name, vote in rules("stats").items():
         bad, none, good = weights[name]
@@ -135,6 +131,11 @@ def judge(
     )
 
 
+def judge(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the columns stats, base_failed, quality_posterior and kept."""
+    return verdicts(stored(docs.withColumn("stats", stats_column(text_col)), "quality-counts"), **options)
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
     names = docs.columns
@@ -145,8 +146,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select(
+    docs = table(spark, sf_dir, "documents")
+    counted = stored(docs.select("doc_id", stats_column("text").alias("stats")), "quality-counts")
+    return verdicts(counted).select(
         "doc_id",
         *(F.col(f"stats.{k}").alias(k) for k in FIELDS[:5]),
         "base_failed",
