@@ -10,8 +10,10 @@ The model is fitted on the driver from at most ``max_train_rows`` labelled rows,
 Scoring is one Arrow pass over all rows, without any shuffle.
 
 Edge cases: null text counts as empty and gets a score like any other; without labelled rows every score is
-0.5, with labels of one class only it is near that class; a null label is not learned from; repeated rows score
-alike; an empty table gives an empty result.
+0.5, with labels of one class only it is near that class; a null label is not learned from, nor is an id with
+conflicting labels; of rows that repeat a labelled id the one with the least text is learned from, once; repeated
+rows score alike; a very long text is counted whole; an empty table gives an empty result; a column of the input
+called like the result column is replaced by it, other columns are carried along.
 """
 
 from __future__ import annotations

@@ -61,7 +61,7 @@ def _best_split(b: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, least: f
 
 
 def fit_boosted(
-    x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.12, most_bins: int = 48, least: float = 1.0, ridge: float = 1.0
+    x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.1, most_bins: int = 48, least: float = 2.0, ridge: float = 2.0
 ) -> Boosted:
     """Logistic boosting with complete trees of ``depth`` levels."""
     cuts = quantile_bins(x, most_bins)
