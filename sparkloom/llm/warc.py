@@ -1,20 +1,27 @@
 """WARC archives as a PySpark data source (``format("warc")``).
 
 Writing.  Each task writes archives of at most ``max_file_bytes`` under unique names; a manifest that lists the
-files of the tasks that succeeded is written last, so files of lost or repeated tasks are never read.  Records
-are gzip members of their own (or plain, with ``compress=false``); each member names its compressed length in
-an extra field ``sl``, so a reader can step over it.
-
-Reading.  The driver plans partitions of whole files, small ones together.  Predicates on ``record_type``,
-``record_id``, ``target_uri``, ``warc_date`` and ``refers_to`` are pushed into the reader, which parses a record's headers
-first and steps over the rest of a record that they exclude.  With a schema that has no ``payload`` (see
-``read_archives``), payloads are never inflated.
+files of the tasks that succeeded is put in place last, so files of lost or repeated tasks are never read.  An
+overwrite names in its manifest what it replaces; the old archives are gone for readers in the same moment, and
+are deleted after it.  Records are gzip members of their own (or plain, with ``compress=false``); each member names
+its compressed and plain lengths in an extra field ``sl``, so a reader can step over it.
+
+Reading.  The driver plans partitions of whole files, small ones together.  Files with names of this writer count
+only if a manifest lists them; all other ``*.warc`` and ``*.warc.gz`` files of the folder are foreign archives and
+are read too.  Predicates on ``record_type``, ``record_id``, ``target_uri``, ``warc_date`` and ``refers_to`` are pushed
+into the reader, which parses a record's headers first and steps over the rest of a record that they exclude.
+With a schema that has no ``payload`` (see ``read_archives``), payloads are never kept, and members with ``sl``
+never inflated.  A gzip member may hold any number of records; its checksum and length are verified whenever it
+is read to its end.
 
 Both sides reach files through Arrow's file systems, so the path may be local, ``file://``, ``hdfs://``,
 ``s3://`` and so on, as long as the driver and all executors see it.
 
 Edge cases: a null payload counts as empty; null header values are left out; control characters in header
-values are percent-encoded; no rows give a manifest without files and an empty table; rows may repeat.
+values are percent-encoded; header names are matched in any case; headers that repeat are joined by ", "; a
+record that is cut short, has no Content-Length, or fails its checksum is an error that names the file; lines may
+end in a bare line feed; records of any length are written and read whole; no rows give a manifest without files
+and an empty table; rows may repeat; columns that ``SCHEMA`` doesn't name are not written.
 """
 
 from __future__ import annotations
@@ -80,6 +87,8 @@ _NAMED = {
     "content_type": "Content-Type",
 }
 _FILTERED = frozenset(("record_type", "record_id", "target_uri", "warc_date", "refers_to"))
+_ARCHIVE, _OWN = re.compile(r"\.warc(\.gz)?$"), re.compile(r"part-[0-9a-f]{32}\.warc(\.gz)?")
+_MANIFEST = re.compile(r"_committed-[0-9a-f]{32}\.json")
 MAX_FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
 _BATCH_BYTES, _BATCH_ROWS = 8 << 20, 2_000
@@ -161,13 +170,17 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = _file_system(self.path)
         fs.create_dir(root, recursive=True)
-        if self.overwrite:
-            for x in fs.get_file_info(pafs.FileSelector(root)):
-                if x.base_name.startswith("_committed-"):
-                    fs.delete_file(x.path)
-        names = [n for m in messages if m is not None for n in m.names]
-        with fs.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps(names).encode())
+        old = [x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if _MANIFEST.fullmatch(x.base_name) or _ARCHIVE.search(x.base_name)]
+        fresh = [n for m in messages if m is not None for n in m.names]
+        replaced = sorted({*old} - {n for n, _ in fresh}) if self.overwrite else []
+        # written aside and moved, so that nobody reads half a manifest
+        name = f"_committed-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/_writing-{name}") as out:
+            out.write(json.dumps({"files": fresh, "replaces": replaced}).encode())
+        fs.move(f"{root}/_writing-{name}", f"{root}/{name}")
+        # archives first: the manifest that replaces them must outlive the manifests that list them
+        for n in sorted(replaced, key=lambda n: bool(_MANIFEST.fullmatch(n))):
+            fs.delete_file(f"{root}/{n}")
 
     def abort(self, messages: list) -> None:
         fs, root = _file_system(self.path)
@@ -186,7 +199,7 @@ class _Group(InputPartition):
 
 def _fields(head: bytes) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
-    for line in head.decode("utf-8", "replace").split("\r\n"):
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
         if line[:1] in (" ", "\t") and out:
             out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
         elif ":" in line:
@@ -195,6 +208,120 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def _joined(named: list[tuple[str, str]]) -> dict[str, str]:
+    """One value per name as it is first written; repeated ones (in any case) are joined."""
+    spelt: dict[str, str] = {}
+    out: dict[str, str] = {}
+    for name, value in named:
+        key = spelt.setdefault(name.lower(), name)
+        out[key] = f"{out[key]}, {value}" if key in out else value
+    return out
+
+
+def _length(named: list[tuple[str, str]]) -> int:
+    for name, value in named:
+        if name.lower() == "content-length":
+            return int(value)
+    raise ValueError("a WARC record has no Content-Length")
+
+
+class _Plain:
+    """A buffered file as a source of records."""
+
+    def __init__(self, file):
+        self.file = file
+        self.line = file.readline
+        at = file.tell()
+        self.end = file.seek(0, io.SEEK_END)
+        file.seek(at)
+
+    def take(self, size: int, keep: bool) -> bytes | None:
+        if not keep:
+            if self.file.tell() + size > self.end:
+                raise ValueError("a WARC record is cut short")
+            self.file.seek(size, io.SEEK_CUR)
+            return None
+        data = self.file.read(size)
+        if len(data) < size:
+            raise ValueError("a WARC record is cut short")
+        return data
+
+
+class _Member:
+    """The plain bytes of one gzip member, inflated as they are asked for."""
+
+    def __init__(self, file):
+        self.file, self.begin = file, file.tell()
+        head = file.read(10)
+        if len(head) < 10 or head[2] != 8:
+            raise ValueError("not a gzip member")
+        flags, self.size, self.plain = head[3], None, None
+        if flags & 4:
+            extra, k = file.read(struct.unpack("<H", file.read(2))[0]), 0
+            while k + 4 <= len(extra):
+                length = struct.unpack_from("<H", extra, k + 2)[0]
+                if extra[k : k + 2] == b"sl" and length == 8:
+                    self.size, self.plain = struct.unpack_from("<II", extra, k + 4)
+                k += 4 + length
+        for bit in (8, 16):  # name, comment
+            while flags & bit and file.read(1) not in (b"\0", b""):
+                pass
+        if flags & 2:
+            file.read(2)
+        self.inflate = zlib.decompressobj(-15)
+        self.held, self.crc, self.total, self.step, self.ended = b"", 0, 0, 1024, False
+
+    def _more(self, most: int) -> bool:
+        """Inflate a little more; False at the member's end, whose checksum and length are then verified."""
+        while not self.inflate.eof:
+            data = self.inflate.unconsumed_tail or self.file.read(self.step)
+            if not data:
+                raise ValueError("a gzip member is cut short")
+            got = self.inflate.decompress(data, most)
+            self.step = min(self.step * 2, 1 << 16)
+            if got:
+                self.crc, self.total = zlib.crc32(got, self.crc), self.total + len(got)
+                self.held += got
+                return True
+        if not self.ended:
+            self.ended = True
+            self.file.seek(self.file.tell() - len(self.inflate.unused_data))
+            tail = self.file.read(8)
+            if len(tail) < 8:
+                raise ValueError("a gzip member is cut short")
+            if struct.unpack("<II", tail) != (self.crc, self.total & 0xFFFFFFFF):
+                raise ValueError("a gzip member fails its checksum")
+        return False
+
+    def line(self) -> bytes:
+        at = 0
+        while (end := self.held.find(b"\n", at)) < 0:
+            at = len(self.held)
+            if not self._more(16384):
+                end = len(self.held) - 1
+                break
+        out, self.held = self.held[: end + 1], self.held[end + 1 :]
+        return out
+
+    def take(self, size: int, keep: bool) -> bytes | None:
+        parts = []
+        while size:
+            if not self.held and not self._more(1 << 20):
+                raise ValueError("a WARC record is cut short")
+            part, self.held = self.held[:size], self.held[size:]
+            size -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts) if keep else None
+
+    def step_over(self) -> None:
+        self.file.seek(self.begin + self.size)
+
+    def only(self, head: int, block: int) -> bool:
+        """Whether the member is known to hold just the record with these lengths."""
+        return self.size is not None and self.plain == head + block + 4
+
+
 def records(file, wanted, payloads: bool) -> Iterator[tuple[list[tuple[str, str]], bytes | None]]:
     """(headers, block or None) of each record that ``wanted`` takes by its headers; file is a buffered reader."""
     while True:
@@ -202,83 +329,39 @@ def records(file, wanted, payloads: bool) -> Iterator[tuple[list[tuple[str, str]
         magic = file.read(2)
         if not magic:
             return
+        file.seek(at)
         if magic == b"\x1f\x8b":
-            yield from _gzipped(file, at, wanted, payloads)
-        elif magic in (b"\r\n", b"\n\n"):
-            continue
+            yield from _records_of(_Member(file), wanted, payloads)
         else:
-            file.seek(at)
-            yield from _plain(file, wanted, payloads)
+            yield from _records_of(_Plain(file), wanted, payloads)
 
 
-def _plain(file, wanted, payloads):
-    head = b""
-    while not head.endswith(b"\r\n\r\n"):
-        line = file.readline()
+def _records_of(source, wanted, payloads):
+    while True:
+        line = source.line()
         if not line:
-            raise ValueError("a WARC record ends inside its headers")
-        head += line
-        if not head.startswith(b"WARC/"):
+            return
+        if line in (b"\r\n", b"\n"):  # between records
+            continue
+        if not line.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-    named = _fields(head)
-    size = int(next(v for k, v in named if k.lower() == "content-length"))
-    if wanted(named):
-        block = file.read(size) if payloads else None
-        if block is not None and len(block) < size:
-            raise ValueError("a WARC record is cut short")
-        if block is None:
-            file.seek(size, io.SEEK_CUR)
-        yield named, block
-    else:
-        file.seek(size, io.SEEK_CUR)
-    file.seek(4, io.SEEK_CUR)
-
-
-def _gzipped(file, at, wanted, payloads):
-    flags = file.read(8)[1]
-    size = None
-    if flags & 4:
-        extra = file.read(struct.unpack("<H", file.read(2))[0])
-        k = 0
-        while k + 4 <= len(extra):
-            length = struct.unpack_from("<H", extra, k + 2)[0]
-            if extra[k : k + 2] == b"sl" and length == 8:
-                size = struct.unpack_from("<I", extra, k + 4)[0]
-            k += 4 + length
-    for bit in (8, 16):  # name, comment
-        while flags & bit and file.read(1) not in (b"\0", b""):
-            pass
-    if flags & 2:
-        file.read(2)
-    inflate = zlib.decompressobj(-15)
-    plain, step = b"", 1024
-    while b"\r\n\r\n" not in plain and not inflate.eof:
-        data = inflate.unconsumed_tail or file.read(step)
-        if not data:
-            raise ValueError("a WARC record ends inside its headers")
-        plain += inflate.decompress(data, 16384)
-    head, _, rest = plain.partition(b"\r\n\r\n")
-    if not head.startswith(b"WARC/"):
-        raise ValueError("not a WARC record")
-    named = _fields(head)
-    take = wanted(named)
-    if size is not None and not (take and payloads):
-        file.seek(at + size)
+        lines, size = [], len(line)
+        while (line := source.line()) not in (b"\r\n", b"\n"):
+            if not line.endswith(b"\n"):
+                raise ValueError("a WARC record ends inside its headers")
+            lines.append(line)
+            size += len(line)
+        named = _fields(b"".join(lines))
+        length = _length(named)
+        take = wanted(named)
+        if not (take and payloads) and isinstance(source, _Member) and source.only(size + len(line), length):
+            source.step_over()
+            if take:
+                yield named, None
+            return
+        block = source.take(length, take and payloads)
         if take:
-            yield named, None
-        return
-    parts = [rest]
-    while not inflate.eof:
-        data = inflate.unconsumed_tail or file.read(1 << 16)
-        if not data:
-            raise ValueError("a WARC record is cut short")
-        part = inflate.decompress(data, 1 << 20)
-        if take and payloads:
-            parts.append(part)
-    file.seek(at + size if size is not None else file.tell() - len(inflate.unused_data) + 8)
-    if take:
-        length = int(next(v for k, v in named if k.lower() == "content-length"))
-        yield named, b"".join(parts)[:length] if payloads else None
+            yield named, block
 
 
 def _test(f: Filter):
@@ -325,14 +408,17 @@ class WarcReader(DataSourceReader):
             files = [(root, info.size)]
         else:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=False))
-            lists = [x.path for x in found if x.base_name.startswith("_committed-")]
-            if lists:
-                files = []
-                for p in lists:
-                    with fs.open_input_stream(p) as file:
-                        files += [(f"{root}/{n}", size) for n, size in json.loads(file.read())]
-            else:
-                files = [(x.path, x.size) for x in found if re.search(r"\.warc(\.gz)?$", x.base_name)]
+            lists = {}
+            for x in found:
+                if _MANIFEST.fullmatch(x.base_name):
+                    with fs.open_input_stream(x.path) as file:
+                        lists[x.base_name] = json.loads(file.read())
+            replaced = {n for held in lists.values() for n in held["replaces"]}
+            files = [(f"{root}/{n}", size) for name, held in lists.items() if name not in replaced for n, size in held["files"] if n not in replaced]
+            files += [
+                (x.path, x.size) for x in found
+                if _ARCHIVE.search(x.base_name) and not _OWN.fullmatch(x.base_name) and x.base_name not in replaced
+            ]
         groups, now, held = [], [], 0
         for path, size in sorted(files):
             if now and held + size > self.target:
@@ -348,24 +434,34 @@ class WarcReader(DataSourceReader):
         payloads = "payload" in self.columns or "http_headers" in self.columns
 
         def wanted(named: list[tuple[str, str]]) -> bool:
-            values = dict(named)
-            return all(test(values.get(name)) for name, test in tests)
+            if not tests:
+                return True
+            values = {k.lower(): v for k, v in _joined(named).items()}
+            return all(test(values.get(name.lower())) for name, test in tests)
 
         rows: list[dict] = []
         held = 0
         schema = pa.schema([(c, _ARROW[c]) for c in self.columns])
         for path in partition.files:
             with io.BufferedReader(fs.open_input_file(path), 1 << 20) as file:
-                for named, block in records(file, wanted, payloads):
-                    values = dict(named)
-                    row = {c: values.pop(h, None) for c, h in _NAMED.items()}
-                    row["content_length"] = int(values.pop("Content-Length"))
+                found = records(file, wanted, payloads)
+                while True:
+                    try:
+                        named, block = next(found)
+                    except StopIteration:
+                        break
+                    except (ValueError, zlib.error) as problem:
+                        raise ValueError(f"{path}: {problem}") from problem
+                    values = _joined(named)
+                    spelt = {k.lower(): k for k in values}
+                    row = {c: values.pop(spelt.get(h.lower()), None) for c, h in _NAMED.items()}
+                    row["content_length"] = int(values.pop(spelt["content-length"]))
                     row["headers"] = list(values.items())
                     http = None
-                    if block is not None and (row["content_type"] or "").startswith("application/http"):
+                    if block is not None and (row["content_type"] or "").lower().startswith("application/http"):
                         top, _, block = block.partition(b"\r\n\r\n")
                         status, _, rest = top.partition(b"\r\n")
-                        http = [(":status", status.decode("utf-8", "replace")), *dict(_fields(rest)).items()]
+                        http = [(":status", status.decode("utf-8", "replace")), *_joined(_fields(rest)).items()]
                     row["http_headers"], row["payload"] = http, block
                     rows.append(row)
                     held += len(block or b"")
@@ -447,7 +543,8 @@ def archive_pages(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
         F.lit("application/http;msgtype=response").alias("content_type"),
         F.create_map(
-            F.lit("X-Page-Id"), F.col("page_id").cast("string"), F.lit("WARC-Profile"), F.when(revisit, REVISIT)
+            F.lit("X-Page-Id"), F.col("page_id").cast("string"), F.lit("WARC-Profile"), F.when(revisit, REVISIT),
+            F.lit("X-Payload-Bytes"), F.octet_length("payload").cast("string"),
         ).alias("headers"),
         F.create_map(
             F.lit("Content-Type"), F.lit("text/html; charset=utf-8"),
@@ -459,20 +556,25 @@ def archive_pages(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """What the archives say of each page; payloads are measured, revisits speak by their headers."""
-    read = read_archives(
-        spark, path, ["record_type", "refers_to", "payload_digest", "headers", "http_headers", "payload"]
+    """What the archives say of each page.  Payloads of responses are measured; revisits speak by their headers, so
+    theirs are asked for without payloads.  Either side's record type is pushed into the reader."""
+    full = read_archives(spark, path, ["record_type", "headers", "payload"]).where("record_type = 'response'")
+    responses = full.select(
+        F.col("headers")["X-Page-Id"].cast("bigint").alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("bigint").alias("refers_to"),
     )
-    revisit = F.col("record_type") == "revisit"
-    return read.select(
+    heads = read_archives(spark, path, ["record_type", "refers_to", "payload_digest", "headers"]).where("record_type = 'revisit'")
+    revisits = heads.select(
         F.col("headers")["X-Page-Id"].cast("bigint").alias("page_id"),
-        F.when(revisit, F.col("http_headers")["Content-Length"].cast("bigint"))
-        .otherwise(F.octet_length("payload").cast("bigint"))
-        .alias("payload_bytes"),
-        F.when(revisit, F.substring_index("payload_digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.col("headers")["X-Payload-Bytes"].cast("bigint").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         "record_type",
-        F.when(revisit, F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("bigint")).alias("refers_to"),
+        F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("bigint").alias("refers_to"),
     )
+    return responses.unionByName(revisits)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
