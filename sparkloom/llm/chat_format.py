@@ -14,7 +14,9 @@ rows of one very long conversation are spread over tasks, and what the second st
 
 Edge cases: null role or text counts as empty; rows are ordered by (turn, role, text), null turns first, so
 ties and repeated rows have a defined place and are kept; rows with a null conversation id form one
-conversation; an empty table gives an empty result; columns other than the four are not read.
+conversation; an empty table gives an empty result; very long texts are carried whole, and a formatted conversation
+must fit a row (2 GB); columns other than the four are not read, so they may have any names; a conversation column
+called like a result column is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import no_clash, table
 
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 TRAINED_ROLE = "assistant"
@@ -71,6 +73,7 @@ def format_conversations(
     turns_per_chunk: int = TURNS_PER_CHUNK,
 ) -> DataFrame:
     """``(conv_col, formatted, loss_spans)`` per conversation; a span is (start, length) in code points."""
+    no_clash(conv_col, ("formatted", "loss_spans"))
     rows = turns.select(
         F.col(conv_col).alias("conv"),
         F.floor(F.col(turn_col) / turns_per_chunk).alias("chunk"),

@@ -16,7 +16,9 @@ and asks the tokenizer for new ones only.  This holds where normalisation acts o
 with other characters, or with a special token's string, go through the tokenizer whole.
 
 Edge cases: null text counts as empty and yields the single end id; repeated rows are packed each on their
-own; ids of rows are only carried along; an empty table gives an empty result.
+own; ids of rows are only carried along; a very long text is cut into whole windows as it comes; an empty table
+gives an empty result; other columns are not read; an identifier column called like a result column is refused
+with a ValueError.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ship, table
+from sparkloom.llm.common import no_clash, ship, table
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -304,9 +306,10 @@ def pack(
 ) -> DataFrame:
     """A row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset,
     sequence_length, step_id."""
+    no_clash(id_col, tuple(_OUT.names[1:]))
     run = _pack(tokenizer_file or default_tokenizer(), tiers, end_id, pool_tokens, step_tokens, cache_words)
     kind = "row bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, step_id bigint"
-    packed = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, kind)
+    packed = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, kind)
     return packed.withColumnRenamed("row", id_col)
 
 

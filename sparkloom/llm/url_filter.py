@@ -6,27 +6,31 @@ under its rarest one.  The tokens of a url fetch its candidate rules from that i
 their regular expression.  Host rules decide first, the longest that fits; where none fits, a url is blocked
 if any pattern rule matches, and allowed otherwise.
 
-Everything is DataFrame expressions.  A list of up to ``inline_rules`` rules travels inside the plan, so urls
-are judged row by row without a shuffle (the only one is that of the token counts, which has one row per rule
-token and task).  A longer list becomes an index table that is joined by token to the distinct urls; Spark
-broadcasts it only while its measured size allows, and shuffles it otherwise.
+Everything is DataFrame expressions, and urls are judged row by row, without a shuffle (the only one is that of the
+token counts, which has one row per rule token and task).  A list of up to ``inline_rules`` rules travels inside the
+plan.  A longer one becomes an index in one row, buckets of tokens with their rules, which is broadcast if its
+measured size is at most ``index_bytes``.  A list beyond that is joined by token to the distinct urls, both sides
+spread over ``SALTS`` salts, since a token may be in all urls; hot urls are joined back by a broadcast.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, which no host rule fits; path rules
-need a path that begins like theirs, so ``org/`` fits ``http://a.org/`` and not ``http://a.org``; repeated rows
-are judged alike; an empty table gives an empty result; input columns that share a name with a result column
-are replaced by it.
+need a path that begins like theirs, so ``org/`` fits ``http://a.org/`` and not ``http://a.org``; very long urls are
+matched whole; repeated rows are judged alike; an empty table gives an empty result; input columns that share a
+name with a result column are replaced by it, unless it is the url column, which is refused with a ValueError.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored, table
+from sparkloom.llm.common import join_hot, no_clash, stored, table
 
 INLINE_RULES = 2_000
+INDEX_BYTES = 64 << 20
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -105,16 +109,15 @@ def tokens_of(canonical: Column) -> Column:
     return F.array_distinct(F.split(F.translate(canonical, _UPPER, _LOWER), "[^a-z0-9]+"))
 
 
-def file_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
+def file_rules(urls: DataFrame, rules: tuple[Rule, ...], inline: bool = True) -> dict[str, list[Rule]]:
     """Each rule under its token that is rarest over the column ``tokens`` of all rows."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    counted = (
-        urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("token"))
-        .groupBy("token")
-        .count()
-        .collect()
-    )
-    seen = {r["token"]: r["count"] for r in counted}
+    if inline:
+        met = urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("token"))
+    else:  # as a table, so that the plan stays small; it is as long as the list that the driver holds
+        names = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+        met = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(names), "token")
+    seen = {r["token"]: r["count"] for r in met.groupBy("token").count().collect()}
     index: dict[str, list[Rule]] = {}
     for r in rules:
         index.setdefault(min(r.tokens, key=lambda t: (seen.get(t, 0), t)), []).append(r)
@@ -144,40 +147,70 @@ def _inline(canonical: Column, index: dict[str, list[Rule]]) -> Column:
     return F.array_max(F.filter(candidates, lambda c: F.regexp_like(canonical, c["pattern"])))
 
 
+_BUCKETED = f"array<array<struct<token: string, rules: array<{_CANDIDATE}>>>>"
+
+
+def _in_buckets(canonical: Column, n: int) -> Column:
+    """The best matching rule, found in the column ``index``, whose buckets are chosen by a token's crc32."""
+    bucket = lambda t: F.get("index", (F.crc32(t.cast("binary")) % n).cast("int"))
+    own = lambda t: F.flatten(F.transform(F.filter(bucket(t), lambda e: e["token"] == t), lambda e: e["rules"]))
+    candidates = F.flatten(F.transform("tokens", own))
+    return F.array_max(F.filter(candidates, lambda c: F.regexp_like(canonical, c["pattern"])))
+
+
+def _by_index(marked: DataFrame, index: dict[str, list[Rule]], canonical: Column) -> DataFrame:
+    n = max(1, len(index))
+    buckets: list[list] = [[] for _ in range(n)]
+    for token, rules in index.items():
+        buckets[zlib.crc32(token.encode()) % n].append((token, [(_rank(r), r.text, r.verdict, r.host_rule, r.pattern) for r in rules]))
+    one = marked.sparkSession.createDataFrame([(buckets,)], f"index {_BUCKETED}")
+    return marked.crossJoin(F.broadcast(one)).withColumn("best", _in_buckets(canonical, n)).drop("index")  # one row
+
+
+def _by_join(rows: DataFrame, index: dict[str, list[Rule]], canonical: Column) -> DataFrame:
+    spark = rows.sparkSession
+    urls = stored(rows.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    filed = spark.createDataFrame(
+        [(k, _rank(r), r.text, r.verdict, r.host_rule, r.pattern) for k, rs in index.items() for r in rs],
+        "token string, rank int, rule string, verdict string, host_rule boolean, pattern string",
+    )
+    spread = stored(filed, "url-rules").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")
+    best = (
+        urls.select("host", "path", salt.alias("salt"), F.explode(tokens_of(canonical)).alias("token"))
+        .join(spread, ["token", "salt"])
+        .where(F.regexp_like(canonical, F.col("pattern")))
+        .groupBy("host", "path")
+        .agg(F.max(F.struct("rank", "rule", "verdict", "host_rule", "pattern")).alias("best"))
+    )
+    keyed = stored(urls.join(best, ["host", "path"]).select(F.struct("host", "path").alias("url"), "best", "n"), "url-verdicts")
+    return join_hot(rows.withColumn("url", F.struct("host", "path")), keyed, "url", "n").drop("url", "n")
+
+
 def judge(
     pages: DataFrame,
     url_col: str = "url",
     rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES,
     inline_rules: int = INLINE_RULES,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """``pages`` with the columns host, path, rule (null unless a host rule fits), verdict and pattern."""
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern")]
+    results = ("host", "path", "rule", "verdict", "pattern")
+    no_clash(url_col, results)
+    names = [c for c in pages.columns if c not in results]
     inner = [f"c{i}" for i in range(len(names))]
-    url = F.col(url_col).cast("string")
+    url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)), host_of(url).alias("host"), path_of(url).alias("path"))
     canonical = F.concat("host", "path")
+    marked = rows.withColumn("tokens", tokens_of(canonical))
     if not rules:
         best = rows.withColumn("best", F.lit(None).cast(_CANDIDATE))
     elif len(rules) <= inline_rules:
-        marked = rows.withColumn("tokens", tokens_of(canonical))
-        index = file_rules(marked, rules)
-        best = marked.withColumn("best", _inline(canonical, index))
+        best = marked.withColumn("best", _inline(canonical, file_rules(marked, rules)))
+    elif sum(len(r.text) + len(r.pattern) + sum(map(len, r.tokens)) + 64 for r in rules) <= index_bytes:
+        best = _by_index(marked, file_rules(marked, rules, False), canonical)
     else:
-        urls = stored(rows.select("host", "path").distinct().withColumn("tokens", tokens_of(canonical)), "urls")
-        index = file_rules(urls, rules)
-        spark = pages.sparkSession
-        filed = spark.createDataFrame(
-            [(k, _rank(r), r.text, r.verdict, r.host_rule, r.pattern) for k, rs in index.items() for r in rs],
-            "token string, rank int, rule string, verdict string, host_rule boolean, pattern string",
-        )
-        met = (
-            urls.select("host", "path", F.explode("tokens").alias("token"))
-            .join(stored(filed, "url-rules"), "token")
-            .where(F.regexp_like(canonical, F.col("pattern")))
-            .groupBy("host", "path")
-            .agg(F.max(F.struct("rank", "rule", "verdict", "host_rule", "pattern")).alias("best"))
-        )
-        best = rows.join(met, ["host", "path"], "left")
+        best = _by_join(rows, file_rules(marked, rules, False), canonical)
     of_host = F.col("best.host_rule")
     return best.select(
         *(F.col(i).alias(c) for c, i in zip(names, inner, strict=True)),
