@@ -1,23 +1,30 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 A rank file maps byte strings to ranks; a token's id is its rank.  Texts are split by a pattern, and BPE acts
-on each distinct word alone, so the words of many texts are encoded together: an inverted index leads from the
-rank of a token pair to all places in all words where the pair stands.  Ranks are replayed in order, the least
-one first, and a merge touches only the two neighbours of its place.  The order inside a word is that of
-encoding the word by itself: the least rank, then the leftmost place.
+on each distinct word alone, so many words are encoded together: an inverted index leads from a pair of tokens to
+all places in all words where the pair stands.  Merges are replayed in rank order, the least one first, and a
+merge touches only the two neighbours of its place.  The order inside a word is that of encoding the word by
+itself: the least rank, then the leftmost place.
 
-A worker keeps the ids of words that it has met (at most ``cache_words``), so frequent words are replayed
-once.  Rows never move: no shuffle, and memory is bounded by the cache and one group of texts.
+Words are first counted over the corpus.  The ``corpus_words`` most frequent ones that occur more than once are
+replayed once, for all texts, and their ids travel to every worker.  The rest, mostly words that occur once, is
+replayed where it stands, all new words of a group of texts together; a worker keeps the ids of at most
+``cache_words`` of them.  Texts never move: the only shuffle is that of the word counts, which are added up within
+each task before.
 
 Ids are packed as little-endian unsigned 32-bit integers.  Edge cases: null text counts as empty and has no
-ids; repeated rows are encoded alike; an empty table gives an empty result; strings of special tokens are
-ordinary text; ids that are not in the rank file fail in decoding.
+ids; repeated rows are encoded alike; a very long text is encoded whole, in memory that grows with its length;
+an empty table gives an empty result; strings of special tokens are ordinary text; ids that are not in the rank
+file fail in decoding; other columns are not read; an identifier column called like a result column is refused
+with a ValueError.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -28,9 +35,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import no_clash, table
 
-CACHE_WORDS = 200_000
+CORPUS_WORDS = 150_000
+CACHE_WORDS = 100_000
+COUNTED_WORDS = 200_000
+#: Longer words are replayed where they stand, so that the words that travel have a bounded size.
+MOST_WORD_CHARS = 64
 CACHE_PAIRS = 200_000
 GROUP_ROWS = 2048
 DECODE_ROWS = 512
@@ -58,36 +69,42 @@ class Codec:
                 first[token[0], token[1]] = rank
         self.first = first
         self.pairs: dict[int, int] = {}
+        #: ids of words of the whole corpus, which stay, and of others, which are forgotten when they are too many
         self.known: dict[str, bytes] = {}
+        self.learned: list[str] = []
         self.most = cache_words
 
+    def seed(self, words: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(x) if x else [] for x in texts]
         known = self.known
-        fresh = set().union(*split).difference(known) if split else set()
+        fresh = set().union(*split).difference(known)
         if fresh:
-            if len(known) + len(fresh) > self.most:
-                known.clear()
-                fresh = set().union(*split)
-            self._learn(list(fresh))
+            if len(self.learned) + len(fresh) > self.most:
+                for w in self.learned:
+                    del known[w]
+                self.learned = []
+                fresh = set().union(*split).difference(known)
+            new = list(fresh)
+            self._learn(new)
+            self.learned += new
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these distinct words; nothing is remembered."""
+        raw = [w.encode() for w in words]
+        whole = [self.ranks.get(r) for r in raw]
+        rest = iter(self.replay([r for r, i in zip(raw, whole, strict=True) if i is None]) if None in whole else ())
+        return [next(rest) if i is None else i.to_bytes(4, "little") for i in whole]
+
     def decode(self, ids: bytes) -> bytes:
         vocabulary = self.vocabulary
         return b"".join([vocabulary[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
     def _learn(self, words: list[str]) -> None:
-        rest, data = [], []
-        for w in words:
-            raw = w.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                rest.append(w)
-                data.append(raw)
-            else:
-                self.known[w] = rank.to_bytes(4, "little")
-        if rest:
-            self.known.update(zip(rest, self.replay(data), strict=True))
+        self.known.update(zip(words, self.encode_words(words), strict=True))
 
     def _rank_of(self, a: int, b: int) -> int:
         key = a << 32 | b
@@ -110,31 +127,38 @@ class Codec:
         before = np.arange(-1, n - 1)
         before[starts] = -1
         gone = np.zeros(n, dtype=np.uint8)
-        # inverted index: rank of a pair -> places of its left tokens, as numbers or arrays of them
-        rank_at = np.full(n, _NONE, dtype=np.int64)
-        rank_at[:-1] = self.first[flat[:-1], flat[1:]]
-        rank_at[ends - 1] = _NONE
-        order = np.argsort(rank_at, kind="stable")
-        order = order[: int((rank_at < _NONE).sum())]
-        kinds, cuts = np.unique(rank_at[order], return_index=True)
+        # inverted index: pair of tokens -> places of its left tokens, as numbers or arrays of them
+        pair_at = flat[:-1].astype(np.int64) << 8 | flat[1:]
+        rank_at = self.first.reshape(-1)[pair_at]
+        inside = np.ones(n, dtype=bool)
+        inside[ends - 1] = False
+        at = np.flatnonzero((rank_at < _NONE) & inside[:-1])
+        at = at[np.argsort(pair_at[at], kind="stable")]
+        kinds, cuts = np.unique(pair_at[at], return_index=True)
         index: dict[int, list] = {}
-        for r, part in zip(kinds.tolist(), np.split(order, cuts[1:]), strict=False):
-            index[r] = [part]
-        heap = kinds.tolist()  # sorted, hence a heap
+        pairs_of: dict[int, list[int]] = {}  # rank -> pairs that stand in the index
+        byte_ids = self.byte_ids.tolist()
+        for kind, part in zip(kinds.tolist(), np.split(at, cuts[1:]), strict=False):
+            pair = byte_ids[kind >> 8] << 32 | byte_ids[kind & 255]
+            index[pair] = [part]
+            pairs_of.setdefault(int(rank_at[part[0]]), []).append(pair)
+        heap = sorted(pairs_of)
         rank_of = self._rank_of
 
-        def file(rank: int, places) -> None:
-            if rank in index:
-                index[rank].append(places)
+        def file(pair: int, rank: int, places) -> None:
+            if pair in index:
+                index[pair].append(places)
+                return
+            index[pair] = [places]
+            if rank in pairs_of:
+                pairs_of[rank].append(pair)
             else:
-                index[rank] = [places]
+                pairs_of[rank] = [pair]
                 heappush(heap, rank)
 
         while heap:
             rank = heappop(heap)
-            found = index.pop(rank, None)
-            if found is None:
-                continue
+            found = [places for pair in pairs_of.pop(rank) for places in index.pop(pair)]
             arrays = [x for x in found if not isinstance(x, int)]
             places = [x for x in found if isinstance(x, int)]
             if len(places) + sum(map(len, arrays)) < _FEW:
@@ -182,9 +206,10 @@ class Codec:
             order = np.argsort(other, kind="stable")
             kinds, cuts = np.unique(other[order], return_index=True)
             for t, part in zip(kinds.tolist(), np.split(places[order], cuts[1:]), strict=True):
-                r = rank_of(rank, t) if side else rank_of(t, rank)
+                pair = rank << 32 | t if side else t << 32 | rank
+                r = rank_of(pair >> 32, pair & 0xFFFFFFFF)
                 if r < _NONE:
-                    file(r, part)
+                    file(pair, r, part)
         return True
 
     def _merge_each(self, rank, places, token, after, before, gone, ends, starts, file) -> None:
@@ -199,7 +224,7 @@ class Codec:
             if j < 0 or rank_of(token[i], token[j]) != rank:
                 continue
             if i < held_until:
-                file(rank, i)
+                file(token[i] << 32 | token[j], rank, i)
                 continue
             token[i] = rank
             gone[j] = 1
@@ -210,25 +235,29 @@ class Codec:
                 r = rank_of(rank, token[k])
                 if r < _NONE:
                     lower = r < rank
-                    file(r, i)
+                    file(rank << 32 | token[k], r, i)
             h = before[i]
             if h >= 0:
                 r = rank_of(token[h], rank)
                 if r < _NONE:
                     lower = lower or r < rank
-                    file(r, h)
+                    file(token[h] << 32 | rank, r, h)
             if lower:
                 held_until = int(ends[bisect_right(starts, i) - 1])
 
 
-_CODECS: dict[tuple[str, str, int], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str, cache_words: int = CACHE_WORDS) -> Codec:
-    """One per worker process and rank file."""
-    key = (path, pattern, cache_words)
+def codec(path: str, pattern: str, cache_words: int = CACHE_WORDS, seeds: tuple[str, list[str], list[bytes]] | None = None) -> Codec:
+    """One per worker process and rank file, and per table of words that it starts with."""
+    key = (path, pattern, cache_words, seeds and seeds[0])
     if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(path), pattern, cache_words)
+        if len(_CODECS) > 3:  # of earlier queries of a reused worker
+            _CODECS.clear()
+        _CODECS[key] = made = Codec(read_ranks(path), pattern, cache_words)
+        if seeds:
+            made.seed(seeds[1], seeds[2])
     return _CODECS[key]
 
 
@@ -245,21 +274,80 @@ def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+def _count_words(path: str, pattern: str):
+    """Over texts: (word, n), added up within the task as long as they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        held: Counter = Counter()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            for k in range(0, len(names), 50_000):
+                part = names[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
+            held.clear()
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(k, 64).to_pylist():
+                    if text:
+                        held.update(find(text))
+                if len(held) > COUNTED_WORDS:
+                    yield from emit()
+        yield from emit()
+
+    return run
+
+
+def corpus_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text", corpus_words: int = CORPUS_WORDS) -> DataFrame:
+    """``(word, ids)`` of the most frequent words of the corpus, at most ``corpus_words``, each replayed once."""
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text != ''")
+    counted = texts.mapInArrow(_count_words(path, pattern), "word string, n bigint").where(F.length("word") <= MOST_WORD_CHARS)
+    often = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(corpus_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(path, pattern)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(use.encode_words(words), pa.binary())], names=["word", "ids"])
+
+    return often.select("word").repartition(F.col("word")).mapInArrow(run, "word string, ids binary")
+
+
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cache_words: int = CACHE_WORDS,
+    corpus_words: int = CORPUS_WORDS,
+    decoded: bool = False,
 ) -> DataFrame:
-    """``(id_col, ids)`` per row; the id keeps its type."""
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """``(id_col, ids)`` per row, and with ``decoded`` the bytes that the ids stand for; the id keeps its type."""
+    no_clash(id_col, ("ids", "decoded"))
+    context = docs.sparkSession.sparkContext
+    source = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    # at most corpus_words words of bounded length
+    found = corpus_table(docs, path, pattern, text_col, corpus_words).toArrow() if corpus_words else None
+    seeds = context.broadcast((uuid.uuid4().hex, found.column(0).to_pylist(), found.column(1).to_pylist()) if found else None)
+    names = [id_col, "ids", "decoded"] if decoded else [id_col, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path, pattern, cache_words)
+        use = codec(path, pattern, cache_words, seeds.value)
         for batch in batches:
             for part in _groups(batch):
                 ids = use.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+                for k in range(0, len(ids), DECODE_ROWS):
+                    some = ids[k : k + DECODE_ROWS]
+                    columns = [part.column(0).slice(k, DECODE_ROWS), pa.array(some, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array(map(use.decode, some), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
@@ -281,8 +369,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, path, pattern).withColumn("decoded", decode_column(F.col("ids"), path, pattern))
-    return coded.select(
+    return encode(docs, path, pattern, decoded=True).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
