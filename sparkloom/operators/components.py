@@ -8,19 +8,14 @@ so a lost executor costs a task, not the loop.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.shared import scratch
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
+    return scratch(spark, "components")
 
 
 def _star(links: DataFrame, strictly_larger: bool) -> DataFrame:
