@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,44 +11,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key counts as hot from this part of all rows on, so there are at most so many hot keys.
-HOT_PARTS = 1_000
+from sparkloom.operators.shared import join_hot, scratch, shared_dir, stored
+
+__all__ = ["bits_of", "crc_mod", "flagged", "join_hot", "located", "no_clash", "scratch", "shared_dir", "ship", "stored", "table", "utf8_list", "without_places"]
+
 #: Bits of a membership table (64 MB when it is broadcast), and bits set aside per member below that.
 MOST_BITS, BITS_PER_MEMBER = 1 << 29, 16
 _BUCKET_BITS = 15
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: ``spark.checkpoint.dir``.
-
-    Where the session names none, a local master gets a temporary folder; a cluster is an error, since its
-    executors would each write to a disk of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
-
-    Unlike a cache, the table outlives the executors that wrote it.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python can import it."""
     context = spark.sparkContext
@@ -155,17 +125,3 @@ def without_places(docs: DataFrame, place: Column, gone: DataFrame) -> DataFrame
     free = marked.where("not `__flag`").select(*inner)
     held = marked.where("`__flag`").join(gone.select("place"), "place", "left_anti").select(*inner)
     return free.unionByName(held).toDF(*names)
-
-
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, parts: int = HOT_PARTS) -> DataFrame:
-    """``rows`` left-joined with ``keyed``, which has a row per key and in ``weight`` its number of rows.
-
-    Keys with more than 1 / ``parts`` of the whole weight, of which there are fewer than ``parts``, are broadcast,
-    so no task gets all rows of a hot key; the others are joined by a shuffle.  ``keyed`` is read several times:
-    give a stored table.
-    """
-    total = keyed.agg(F.sum(weight).alias("__total"))
-    hot = keyed.crossJoin(F.broadcast(total)).where(F.col(weight) * parts > F.col("__total")).drop("__total")  # one row
-    many = rows.join(F.broadcast(hot), key)
-    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key, "left")
-    return many.unionByName(few)
