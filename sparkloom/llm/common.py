@@ -18,11 +18,19 @@ __all__ = ["bits_of", "crc_mod", "flagged", "join_hot", "located", "no_clash", "
 #: Bits of a membership table (64 MB when it is broadcast), and bits set aside per member below that.
 MOST_BITS, BITS_PER_MEMBER = 1 << 29, 16
 _BUCKET_BITS = 15
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python can import it."""
+    """Send this package to the executors, once per application, so that their Python can import it.
+
+    Batches that go to Python are bounded by their bytes too, since texts may be long, unless the application
+    has set its own bounds.
+    """
     context = spark.sparkContext
+    for key, value in _BATCHES.items():
+        if context.getConf().get(key) is None:
+            spark.conf.set(key, value)
     if getattr(context, "_sparkloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

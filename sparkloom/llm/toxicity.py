@@ -34,7 +34,7 @@ STEMS = (5, 6, 7)
 MIN_EVIDENCE = 25
 THRESHOLD = 0.3
 NEAR = 3
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 
 #: Seed lexicon: insults and threats in English, French, German and Spanish.
 LEXICON = frozenset(
