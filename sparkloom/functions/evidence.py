@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import axes, library
@@ -108,3 +108,19 @@ def explain(pair_axes: list[Axis], a: str, b: str, c: float = 0.95) -> Column:
 def features(named: dict) -> Column:
     """The values of the named axes of the current row, as one struct."""
     return F.struct(*(build().alias(name) for name, build in named.items()))
+
+
+def fitted(measured: DataFrame, c: float = 0.95) -> DataFrame:
+    """``(axis, total, n_values, collision, mismatch_bits)``: a scorer's parameters from a sample's own value shares
+    (axis, n, p), in place of the library's."""
+    x = measured.groupBy("axis").agg(F.sum("n").alias("total"), F.count("*").alias("n_values"), F.sum(F.col("p") * F.col("p")).alias("collision"))
+    miss = F.least(F.lit(0.0), F.log2(F.lit(1 - c) / F.greatest(1 - F.col("collision"), F.lit(1e-6))))
+    return x.withColumn("mismatch_bits", miss)
+
+
+def axes_of(measured: DataFrame, names: dict) -> list[Axis]:
+    """Axes with the value shares of a sample (axis, value, p), which has a row per measured value."""
+    shares: dict[str, dict[str, float]] = {k: {} for k in names}
+    for r in measured.where(F.col("axis").isin(*names)).collect():
+        shares[r["axis"]][r["value"]] = r["p"]
+    return [axis_of(k, v, silent_if_unknown=True) for k, v in shares.items()]

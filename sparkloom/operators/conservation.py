@@ -50,19 +50,15 @@ def forced_prefixes(txs: DataFrame, known: str = "known") -> DataFrame:
         "value",
         F.sum(F.col("value") * F.col("n")).over(upto).alias("pooled"),
         F.sum("n").over(upto).alias("pool"),
-        F.collect_list(F.struct("value", "n")).over(upto).alias("taken"),
+        "n",
         amounts.others_input(F.col("total"), F.col("known")).alias("others"),
     ).withColumn("forced_amount", F.col("pooled") - F.col("others"))
-    # take the largest first: of each value as many as are still needed
-    need = F.aggregate(
-        "taken",
-        F.struct(F.col("forced_amount").alias("left"), F.lit(0).cast("long").alias("coins")),
-        lambda s, t: F.struct(
-            F.greatest(F.lit(0), s["left"] - t["value"] * t["n"]).alias("left"),
-            (s["coins"] + F.when(s["left"] <= 0, F.lit(0)).otherwise(F.least(t["n"], F.ceil(F.try_divide(s["left"], t["value"])).cast("long")))).alias("coins"),
-        ),
-    )["coins"]
-    return pooled.where("forced_amount > 0").select("txid", "depth", "value", "forced_amount", need.alias("coins"), "pool")
+    forced = pooled.where("forced_amount > 0").select("txid", "depth", "value", "forced_amount", "pool")
+    # take the largest first: all of those before the one step whose sum covers the amount, and of it as many as needed
+    steps = pooled.select("txid", F.col("value").alias("v"), (F.col("pooled") - F.col("value") * F.col("n")).alias("under"), "pooled", (F.col("pool") - F.col("n")).alias("held"))
+    met = forced.join(steps, "txid").where((F.col("forced_amount") > F.col("under")) & (F.col("forced_amount") <= F.col("pooled")))
+    coins = F.col("held") + F.ceil(F.try_divide(F.col("forced_amount") - F.col("under"), F.col("v"))).cast("long")
+    return met.select("txid", "depth", "value", "forced_amount", coins.alias("coins"), "pool")
 
 
 def coinjoin_demix(txs: DataFrame, fee_cap: int = FEE_CAP) -> DataFrame:
@@ -82,7 +78,10 @@ def coinjoin_demix(txs: DataFrame, fee_cap: int = FEE_CAP) -> DataFrame:
     changes = outs.join(mixes, "txid").where("value != mix").select("txid", "pos", "value", "mix")
     ins = txs.select("txid", F.posexplode("vin").alias("input_index", "v")).select("txid", "input_index", F.col("v.prevout.value").alias("paid"))
     fee = F.col("mix") + F.col("value") - F.col("paid")
-    valid = ins.join(changes, "txid").where((fee > 0) & (fee <= fee_cap))
+    # only amounts within a fee of each other meet: those of one step of the fee's size, or of the next
+    step = lambda amount: F.floor(amount / fee_cap)
+    near = ins.withColumn("step", F.explode(F.array(step(F.col("paid")), step(F.col("paid")) + 1)))
+    valid = near.join(changes.withColumn("step", step(F.col("mix") + F.col("value"))), ["txid", "step"]).where((fee > 0) & (fee <= fee_cap))
     by_input, by_change = Window.partitionBy("txid", "input_index"), Window.partitionBy("txid", "value")
     return (
         valid.withColumn("a", F.count("*").over(by_input))

@@ -121,8 +121,8 @@ def detect_mining_pool(txs: DataFrame, coinbase: str) -> DataFrame:
     return txs.where(F.col(coinbase).isNotNull()).select("txid", mining_pool(F.col(coinbase)).alias("entity"), best.alias("payout")).where("entity is not null")
 
 
-def entity_labels(txs: DataFrame) -> DataFrame:
-    """``(txid, detector)`` of all detectors that fire."""
+def entity_labels(txs: DataFrame, coinbase: str | None = None) -> DataFrame:
+    """``(txid, detector)`` of all detectors that fire; mining pools too if ``coinbase`` names the column of the script."""
     parts = [
         txs.where(notification_address().isNotNull()).select("txid", F.lit("bip47_notification").alias("detector")),
         *(
@@ -136,15 +136,20 @@ def entity_labels(txs: DataFrame) -> DataFrame:
             )
         ),
     ]
+    if coinbase is not None:
+        parts.append(detect_mining_pool(txs, coinbase).select("txid", F.lit("mining_pool").alias("detector")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def hub_addresses(txs: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """Addresses (column address) of known services, whose counterparties prove nothing."""
+def hub_addresses(txs: DataFrame, curated: DataFrame | None = None, coinbase: str | None = None) -> DataFrame:
+    """Addresses (column address) of known services, whose counterparties prove nothing; the payouts of mining pools
+    too if ``coinbase`` names the column of the script."""
     out = detect_bitmex(txs).select("address").unionByName(detect_satoshidice(txs).select("address"))
+    if coinbase is not None:
+        out = out.unionByName(detect_mining_pool(txs, coinbase).where("payout is not null").select(F.col("payout").alias("address")))
     if curated is not None:
         out = out.unionByName(curated.where(F.col("kind").isin("supercluster", "service")).select(F.col("key").alias("address")))
     return out.distinct()

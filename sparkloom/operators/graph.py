@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.change import input_addresses
@@ -92,6 +92,11 @@ def overlap(pairs: DataFrame, neigh: DataFrame, cbits: DataFrame, a: str = "a",
     return pairs.join(x, [a, b], "left")
 
 
+def plain_overlap_bits(shared: Column, cap: float = SHARE_CAP) -> Column:
+    """Bits of a number of shared counterparties where their rarity isn't known: one and a half each, for four at most."""
+    return F.least(1.5 * F.least(F.coalesce(shared, F.lit(0)), F.lit(4)), F.lit(cap))
+
+
 def topology_weight(pairs: DataFrame, neigh: DataFrame, cbits: DataFrame, disjoint: float = PAIR_DISJOINT_BITS, cap: float = SHARE_CAP, tau: float | None = None) -> DataFrame:
     """``pairs`` (a, b) with ``topology``: 0 if either side touches nothing, ``disjoint`` if nothing is shared
     (or, given ``tau``, less than that), else the shared bits up to the cap."""
@@ -122,9 +127,3 @@ def cluster_bits(members: DataFrame, edges: DataFrame, topk: int = 5) -> DataFra
     return sizes.join(got, "cluster", "left").select(
         "cluster", "size", F.coalesce("n_external", F.lit(0)).alias("n_external"), F.coalesce("bits", F.lit(0.0)).alias("bits"), F.coalesce("top_bits", F.lit(0.0)).alias("top_bits")
     )
-
-
-def held_out_pairs(clusters: DataFrame, cospent: DataFrame) -> DataFrame:
-    """``(a, b)``: addresses of one cluster that were never spent together."""
-    x = clusters.select("cluster", F.col("address").alias("a")).join(clusters.select("cluster", F.col("address").alias("b")), "cluster")
-    return x.where("a < b").select("a", "b").join(cospent, ["a", "b"], "left_anti")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.hashing import hashed
+from sparkloom.operators.shared import stored
+
 
 def partition_figures(groups: DataFrame, cluster: str = "cluster") -> DataFrame:
     """One row: clusters, entropy (bits), effective count 2^H, and the largest share; ``groups`` has a row per node."""
@@ -47,7 +52,13 @@ def auc(scored: DataFrame, score: str = "score", positive: str = "positive") ->
     counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q")
     )
-    ranged = counts.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    return auc_of_counts(counts)
+
+
+def auc_of_counts(counts: DataFrame) -> DataFrame:
+    """``auc`` from ``(s, p, q)``: how many positives and negatives have each score."""
+    # written once, so that both readers below see the same parts
+    ranged = stored(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "auc-parts")
     base = (
         ranged.groupBy("part")
         .agg(F.sum("q").alias("q_part"))
@@ -64,7 +75,7 @@ def auc(scored: DataFrame, score: str = "score", positive: str = "positive") ->
 
 def shuffled(pairs: DataFrame, pos: str, neg: str, key: str, seed: int = 0) -> DataFrame:
     """``(score, positive)`` with the two scores of each row swapped by a coin that its key decides."""
-    flip = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2)) == 1
+    flip = F.substring(hashed(F.col(key), seed), 1, 1) >= "8"
     both = F.array(
         F.struct(F.when(flip, F.col(neg)).otherwise(F.col(pos)).alias("score"), F.lit(True).alias("positive")),
         F.struct(F.when(flip, F.col(pos)).otherwise(F.col(neg)).alias("score"), F.lit(False).alias("positive")),
@@ -80,16 +91,24 @@ def expected_calibration_error(scored: DataFrame, p: str = "p", label: str = "la
     return x.agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
+def poisson_steps(most: int = 14) -> list[float]:
+    """The distribution function of a Poisson variable of mean 1, up to where the hash's digits end."""
+    steps, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, most + 1):
+        total += term
+        steps.append(total)
+        term /= k
+    return [x for x in steps if x < 1 - 2.0**-33]
+
+
 def bootstrap_rates(flags: DataFrame, columns: list[str], rounds: int = 2000, seed: int = 0, key: str = "txid") -> DataFrame:
     """``(name, low, mid, high)``: 95 % intervals of means by a Poisson bootstrap whose draws a row's key decides."""
     draw = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    h = hashed(F.concat_ws("|", F.col(key).cast("string"), F.col("round").cast("string")), seed)
+    u = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") + 0.5) / float(1 << 32)
     weight = F.lit(0)
-    total, term = 0.0, 0.36787944117144233
-    for k in range(1, 8):  # inverse of the Poisson(1) distribution
-        total += term
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        term /= k
+    for step in poisson_steps():
+        weight = weight + F.when(u > step, 1).otherwise(0)
     x = flags.select(key, *columns, draw.alias("round")).withColumn("w", weight)
     means = x.groupBy("round").agg(*(F.try_divide(F.sum(F.col("w") * F.col(c).cast("double")), F.sum("w")).alias(c) for c in columns))
     long = means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in columns))).alias("x"))

@@ -1,17 +1,26 @@
 """Unsupervised weights: a mixture over agreement patterns, by expectation-maximisation or Gibbs sampling.
 
-Pairs are first counted by agreement pattern, so what reaches the driver has at most 3^(number of axes) rows
-however many pairs there are; the iteration runs on those counts."""
+Pairs are first counted by agreement pattern.  The iterations need only sums over the patterns: per axis, how much of
+the same-owner part speaks, and how much of that agrees.  Up to ``MOST_PATTERNS`` patterns, which is tested by counting
+them, are held by the driver; beyond it each round is a Spark job over the stored counts, of which the driver sees the
+sums alone."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.components import connected_components
+from sparkloom.operators.shared import stored
+
 _LOW = 1e-6
+MOST_PATTERNS = 200_000
 
 
 @dataclass
@@ -28,10 +37,63 @@ def patterns(pairs: DataFrame, agree: str = "agree", active: str = "active") ->
     return pairs.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"))
 
 
-def _collected(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = sorted(((tuple(-1 if v is None else v for v in r["pattern"]), r["n"]) for r in counted.collect()))
-    codes = np.array([r[0] for r in rows], dtype=int).reshape(len(rows), -1)
-    return (codes == 1).astype(float), codes >= 0, np.array([r[1] for r in rows], dtype=float)
+@dataclass
+class _Sums:
+    """Over some patterns: pairs, same-owner part of them, log-likelihood, and per axis what of that part speaks and agrees."""
+
+    total: float
+    part: float
+    loglik: float
+    speaks: np.ndarray
+    agrees: np.ndarray
+
+
+def _part_of(a: np.ndarray, on: np.ndarray, n: np.ndarray, m: np.ndarray, u: np.ndarray, share: float, draw: tuple | None) -> _Sums:
+    """The sums of some patterns; ``draw`` seeds whole pairs drawn by their probability instead of shares of pairs."""
+    same, other = _log_sides(a, on, m, u)
+    top, bottom = np.log(share) + same, np.log(1 - share) + other
+    both = np.logaddexp(top, bottom)
+    r = np.exp(top - both)
+    z = n * r if draw is None else np.random.default_rng(draw).binomial(n.astype(np.int64), np.clip(r, 0, 1)).astype(float)
+    weight = z[:, None] * on
+    return _Sums(float(n.sum()), float(z.sum()), float((n * both).sum()), weight.sum(0), (weight * a).sum(0))
+
+
+def _decode(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.array([[-1 if v is None else v for v in p] for p, _ in rows], dtype=int).reshape(len(rows), -1)
+    return (codes == 1).astype(float), codes >= 0, np.array([n for _, n in rows], dtype=float)
+
+
+class _Counted:
+    """Counted patterns, on the driver or, if there are many, where they are stored."""
+
+    def __init__(self, counted: DataFrame, most: int | None = None):
+        self.table = stored(counted.select("pattern", "n"), "patterns")
+        self.held = None
+        if self.table.count() <= (MOST_PATTERNS if most is None else most):
+            self.held = _decode(sorted(((tuple(-1 if v is None else v for v in r["pattern"]), r["n"]) for r in self.table.collect())))
+
+    def sums(self, m: np.ndarray, u: np.ndarray, share: float, draw: tuple | None = None) -> _Sums:
+        k = len(u)
+        if self.held is not None:
+            a, on, n = self.held
+            if not len(n):
+                return _Sums(0.0, 0.0, 0.0, np.zeros(k), np.zeros(k))
+            return _part_of(a, on, n, m, u, share, draw)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            for i, batch in enumerate(batches):
+                got = _decode(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+                s = _part_of(*got, m, u, share, None if draw is None else (*draw, TaskContext.get().partitionId(), i))
+                yield pa.RecordBatch.from_arrays([pa.array([[s.total, s.part, s.loglik, *s.speaks, *s.agrees]], pa.list_(pa.float64()))], names=["s"])
+
+        width = 3 + 2 * k
+        x = self.table.mapInArrow(run, "s array<double>")
+        row = x.agg(*(F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(width))).first()
+        v = np.array(list(row))
+        return _Sums(v[0], v[1], v[2], v[3 : 3 + k], v[3 + k :])
 
 
 def _clip(x):
@@ -44,47 +106,76 @@ def _log_sides(a: np.ndarray, on: np.ndarray, m: np.ndarray, u: np.ndarray) -> t
     return same, other
 
 
-def em_fit(counted: DataFrame, u: list[float], max_iter: int = 100, tol: float = 1e-6) -> Mixture:
+def em_fit(counted: DataFrame, u: list[float], max_iter: int = 100, tol: float = 1e-6, most_patterns: int | None = None) -> Mixture:
     """Chance of agreement per axis within one owner (m) and the share of such pairs; u stays fixed."""
-    a, on, n = _collected(counted)
+    table = _Counted(counted, most_patterns)
     u = _clip(np.array(u))
     m, share, history, k = np.full(len(u), 0.9), 0.5, [], 0
-    if not len(n):
-        return Mixture(m, share, 0, history)
     for k in range(1, max_iter + 1):
-        same, other = _log_sides(a, on, _clip(m), u)
-        top, bottom = np.log(share) + same, np.log(1 - share) + other
-        both = np.logaddexp(top, bottom)
-        r = np.exp(top - both)
-        history.append(float((n * both).sum()))
-        share = float(_clip((n * r).sum() / n.sum()))
-        weight = (n * r)[:, None] * on
-        den = weight.sum(0)
-        m = np.where(den > 1e-12, _clip((weight * a).sum(0) / np.maximum(den, 1e-12)), m)
+        s = table.sums(_clip(m), u, share)
+        if not s.total:
+            return Mixture(m, share, 0, history)
+        history.append(s.loglik)
+        share = float(_clip(s.part / s.total))
+        m = np.where(s.speaks > 1e-12, _clip(s.agrees / np.maximum(s.speaks, 1e-12)), m)
         if k > 1 and abs(history[-1] - history[-2]) < tol:
             break
     return Mixture(m, share, k, history)
 
 
-def gibbs_fit(counted: DataFrame, u: list[float], alpha: float = 8.5, beta: float = 1.5, draws: int = 2000, burn: int = 500, seed: int = 0) -> dict:
-    """Posterior means and 95 % intervals of m and the share; the pairs of a pattern are drawn together."""
-    a, on, n = _collected(counted)
+def gibbs_fit(
+    counted: DataFrame, u: list[float], alpha: float = 8.5, beta: float = 1.5, draws: int = 2000, burn: int = 500, seed: int = 0, most_patterns: int | None = None
+) -> dict:
+    """Posterior means and 95 % intervals of m and the share, and the draws of m; the pairs of a pattern are drawn together."""
+    table = _Counted(counted, most_patterns)
     u, rng = _clip(np.array(u)), np.random.default_rng(seed)
-    z = np.where((a * on).sum(1) * 2 >= np.maximum(on.sum(1), 1), n, 0)
+    s = table.sums(np.full(len(u), 0.9), u, 0.5, (seed, 0))
     kept_m, kept_share = [], []
     for k in range(draws):
-        weight = z[:, None] * on
-        agree, differ = (weight * a).sum(0), (weight * (1 - a)).sum(0)
-        m = _clip(rng.beta(alpha + agree, beta + differ))
-        share = float(_clip(rng.beta(1 + z.sum(), 1 + n.sum() - z.sum())))
-        same, other = _log_sides(a, on, m, u)
-        p = 1 / (1 + np.exp(np.clip(np.log(1 - share) + other - np.log(share) - same, -500, 500)))
-        z = rng.binomial(n.astype(int), p).astype(float)
+        m = _clip(rng.beta(alpha + s.agrees, beta + s.speaks - s.agrees))
+        share = float(_clip(rng.beta(1 + s.part, 1 + s.total - s.part)))
+        s = table.sums(m, u, share, (seed, k + 1))
         if k >= burn:
             kept_m.append(m)
             kept_share.append(share)
     kept = np.array(kept_m)
-    return {"m": kept.mean(0), "low": np.quantile(kept, 0.025, axis=0), "high": np.quantile(kept, 0.975, axis=0), "share": float(np.mean(kept_share))}
+    return {"m": kept.mean(0), "low": np.quantile(kept, 0.025, axis=0), "high": np.quantile(kept, 0.975, axis=0), "share": float(np.mean(kept_share)), "draws": kept}
+
+
+def _drawn_links(draws: np.ndarray, u: np.ndarray, share: float, seed: int):
+    """Over (a, b, agree, active): the pairs that hold in each draw, with the draw before their names."""
+    hit, miss = np.log(draws / u).T, np.log((1 - draws) / (1 - u)).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                a, b, agree, active = (batch.column(i).slice(k, 1024).to_pylist() for i in range(4))
+                on, same = np.array(active, dtype=float), np.array([[bool(x) for x in row] for row in agree], dtype=float)
+                odds = np.log(share / (1 - share)) + (on * same) @ hit + (on * (1 - same)) @ miss
+                coin = np.array([np.random.default_rng([seed, zlib.crc32(f"{x}|{y}".encode())]).random(len(draws)) for x, y in zip(a, b, strict=True)])
+                pair, draw = np.nonzero(coin < 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{d}/{side[i]}" for i, d in zip(pair.tolist(), draw.tolist(), strict=True)], pa.string()) for side in (a, b)], names=["a", "b"]
+                )
+
+    return run
+
+
+def cluster_band(pairs: DataFrame, u: list[float], fit: dict, draws: int = 200, seed: int = 0) -> DataFrame:
+    """One row (nodes, mean, low, high): into how many clusters the nodes of ``pairs`` (a, b, agree, active) fall if each
+    pair is one owner's by its probability, over ``draws`` of the fitted parameters.  All draws' components are found
+    together, their nodes told apart by the draw; whether a pair holds is drawn by a generator that its names seed."""
+    every = fit["draws"]
+    chosen = every[np.linspace(0, len(every) - 1, draws).astype(int)]
+    held = stored(pairs.select("a", "b", "agree", "active"), "band-pairs")
+    nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = held.mapInArrow(_drawn_links(chosen, _clip(np.array(u)), fit["share"], seed), "a string, b string")
+    # nodes less links of a spanning forest: every node that isn't the least of its component is one link
+    merged = connected_components(edges, "a", "b").where("node != component").groupBy(F.substring_index("node", "/", 1).cast("int").alias("draw")).agg(F.count("*").alias("links"))
+    total = nodes.agg(F.count("*").alias("nodes"))
+    per = held.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).join(merged, "draw", "left").crossJoin(F.broadcast(total))  # one row
+    n = F.col("nodes") - F.coalesce("links", F.lit(0))
+    return per.groupBy("nodes").agg(F.avg(n).alias("mean"), F.percentile(n, F.lit(0.025)).alias("low"), F.percentile(n, F.lit(0.975)).alias("high"))
 
 
 def pair_probability(agree: str, active: str, m: list[float], u: list[float], share: float) -> Column:

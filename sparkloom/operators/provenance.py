@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.change import spends
 from sparkloom.operators.components import _folder
+from sparkloom.operators.hashing import ranked
+from sparkloom.operators.shared import stored
 
-MOST_COINS = 12
+MOST_COINS = 22
+MOST_MAPPINGS = 200_000
 MIX_LEAST = 20
 
 
@@ -24,54 +28,52 @@ def link_matrix(ins: tuple[int, ...], outs: tuple[int, ...], most: int = MOST_CO
     """Share of the finest balanced mappings in which input i and output o lie in one sub-transaction.
 
     Sub-transactions balance exactly but for one, which pays the whole fee; a mapping counts if no part of it
-    can be split further.  None where coins are missing, too many, or the outputs exceed the inputs."""
+    can be split further.  None where coins are missing, too many (the sums of all subsets are held), where there are
+    more than ``MOST_MAPPINGS`` mappings, or where the outputs exceed the inputs."""
     n, m = len(ins), len(outs)
     if not n or not m or n + m > most or sum(ins) < sum(outs):
         return None
-    values = [*ins, *(-o for o in outs)]
-    size, full = 1 << (n + m), (1 << (n + m)) - 1
-    balance = [0] * size
-    for s in range(1, size):
-        low = (s & -s).bit_length() - 1
-        balance[s] = balance[s & (s - 1)] + values[low]
-    fee = balance[full]
-    in_bits = (1 << n) - 1
-    mixed = lambda s: s & in_bits and s & ~in_bits
-    atoms = []
-    for s in range(1, size):
-        if balance[s] == 0 and mixed(s):
-            part, whole = (s - 1) & s, True
-            while part:
-                if balance[part] == 0 and mixed(part) and mixed(s ^ part):
-                    whole = False
-                    break
-                part = (part - 1) & s
-            if whole:
-                atoms.append(s)
+    balance = np.zeros(1, dtype=np.int64)
+    for v in [*ins, *(-o for o in outs)]:
+        balance = np.concatenate([balance, balance + v])
+    full, in_bits = (1 << (n + m)) - 1, (1 << n) - 1
+    fee = int(balance[full])
+    mixed = lambda s: bool(s & in_bits and s & ~in_bits)
+    even = np.flatnonzero(balance == 0)
+    even = even[((even & in_bits) != 0) & ((even & ~in_bits) != 0)]
+    even = even[np.argsort(np.bitwise_count(even), kind="stable")]
+    atoms = [s for k, s in enumerate(even.tolist()) if not _splits(s, even[:k], in_bits)]
     found: list[list[int]] = []
 
     def rest_is_atomic(s: int) -> bool:
-        return mixed(s) and balance[s] == fee and not any(a & s == a and mixed(s ^ a) for a in atoms)
+        return mixed(s) and int(balance[s]) == fee and not any(a & s == a and mixed(s ^ a) for a in atoms)
 
-    def grow(left: int, chosen: list[int], first: int) -> None:
+    def grow(left: int, chosen: list[int], first: int) -> bool:
+        """False once there are too many."""
         if not left:
             if fee == 0:
                 found.append(chosen)
-            return
+            return len(found) <= MOST_MAPPINGS
         if fee and rest_is_atomic(left):
             found.append([*chosen, left])
         for k in range(first, len(atoms)):
-            if atoms[k] & left == atoms[k]:
-                grow(left ^ atoms[k], [*chosen, atoms[k]], k + 1)
+            if atoms[k] & left == atoms[k] and not grow(left ^ atoms[k], [*chosen, atoms[k]], k + 1):
+                return False
+        return len(found) <= MOST_MAPPINGS
 
-    grow(full, [], 0)
-    if not found:
+    if not grow(full, [], 0) or not found:
         return None
     return [
         [sum(any(b >> i & 1 and b >> (n + o) & 1 for b in blocks) for blocks in found) / len(found) for o in range(m)] for i in range(n)
     ]
 
 
+def _splits(s: int, smaller: np.ndarray, in_bits: int) -> bool:
+    """Whether one of the smaller balanced parts leaves a rest of s that has both sides."""
+    rest = s ^ smaller[(smaller & ~s) == 0]
+    return bool((((rest & in_bits) != 0) & ((rest & ~in_bits) != 0)).any())
+
+
 def link_matrix_column(ins: Column, outs: Column) -> Column:
     """The matrix of each row, as array<array<double>>; null where it abstains.  Rows have at most a few coins."""
 
@@ -90,7 +92,14 @@ def funding_edges(txs: DataFrame, matrix: Column | None = None) -> DataFrame:
     transaction's inputs.  A coin whose matrix abstains has one row with null parent and weight."""
     ins = F.transform("vin", lambda v: v["prevout"]["value"])
     outs = F.transform("vout", lambda o: o["value"])
-    x = txs.select("txid", "vin", "vout", (link_matrix_column(ins, outs) if matrix is None else matrix).alias("m"))
+    if matrix is None:  # equal lists of amounts are enumerated once
+        sums = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, v: s + v)
+        asked = txs.select("txid", ins.alias("ins"), outs.alias("outs")).where((F.size("ins") > 0) & (F.size("outs") > 0) & (sums("ins") >= sums("outs")))
+        asked = stored(asked, "amounts")
+        known = asked.select("ins", "outs").distinct().withColumn("m", link_matrix_column(F.col("ins"), F.col("outs")))
+        x = txs.select("txid", "vin", "vout").join(asked.join(known, ["ins", "outs"]).select("txid", "m"), "txid", "left")
+    else:
+        x = txs.select("txid", "vin", "vout", matrix.alias("m"))
     coins = x.select("txid", "vin", "m", F.posexplode("vout").alias("vout", "o")).drop("o")
     column = F.transform("m", lambda row: F.get(row, F.col("vout")))
     total = F.aggregate(column, F.lit(0.0), lambda s, v: s + v)
@@ -152,6 +161,8 @@ def signatures(txs: DataFrame, targets: DataFrame, depth: int = 6, matrix: Colum
         pushed = held(pushed, f"pushed-{k}")
         absorbed = absorbed.unionByName(pushed.where("not moves").select("target", "coin", "mass"))
         moving = pushed.where("moves").select("target", "coin", "mass")
+    else:
+        raise RuntimeError(f"mass is still moving after {max_rounds} rounds; the ancestry has a cycle")
     total = absorbed.groupBy("target", "coin").agg(F.sum("mass").alias("mass")).where("mass > 1e-12")
     return total.join(kinds.select("target", "coin", "cut"), ["target", "coin"]).select("target", F.col("coin").alias("ancestor"), "mass", "cut")
 
@@ -204,6 +215,12 @@ def shared_origins(branches: DataFrame, sigs: DataFrame, rare: DataFrame | None
     return x.join(rare, "ancestor", "left").select("group", "ancestor", "mass", rarity_weight(F.coalesce("support", F.lit(1))).alias("weight"))
 
 
+def ranked_origins(branches: DataFrame, sigs: DataFrame, rare: DataFrame | None = None) -> DataFrame:
+    """``shared_origins`` with ``position``, from 1 on by falling mass times weight, then by name."""
+    order = Window.partitionBy("group").orderBy(F.round(F.col("mass") * F.col("weight"), 9).desc(), "ancestor")
+    return shared_origins(branches, sigs, rare).withColumn("position", F.row_number().over(order).cast("bigint"))
+
+
 def intersect(branches: DataFrame, found: DataFrame) -> DataFrame:
     """``(group, branches, smallest, shared, collapsed, collapsed_bits, blind, scored)`` of co-spend candidates.
 
@@ -223,7 +240,7 @@ def walk_frontier(txs: DataFrame, seeds: DataFrame, max_depth: int = 4) -> tuple
     """Follow seeds (txid, vout) forward through ordinary spends.
 
     Returns the frontier (seed, txid, vout, depth, reason: unspent, coinjoin or depth) and the candidates
-    (txid, seeds, n_in, n_out): transactions that spend coins of two seeds or more."""
+    (txid, seeds, n_in, n_out, outpoints): transactions that spend coins of two seeds or more, and those coins."""
     spark = txs.sparkSession
     folder = _folder(spark)
 
@@ -242,7 +259,7 @@ def walk_frontier(txs: DataFrame, seeds: DataFrame, max_depth: int = 4) -> tuple
             reason = reason.otherwise("depth")
         stops.append(at.withColumn("reason", reason).where("reason is not null").select("seed", "txid", "vout", "depth", "reason"))
         ordinary = at.where("spender is not null and not mix")
-        used.append(ordinary.select("spender", "seed", "n_in", "n_out"))
+        used.append(ordinary.select("spender", "seed", "n_in", "n_out", "txid", "vout"))
         seen = at.select("seed", "txid", "vout") if seen is None else seen.unionByName(at.select("seed", "txid", "vout"))
         now = (
             ordinary.where("n_out > 0")
@@ -254,12 +271,14 @@ def walk_frontier(txs: DataFrame, seeds: DataFrame, max_depth: int = 4) -> tuple
     for more, u in zip(stops[1:], used[1:], strict=True):
         frontier, consumed = frontier.unionByName(more), consumed.unionByName(u)
     candidates = (
-        consumed.groupBy(F.col("spender").alias("txid"), "n_in", "n_out").agg(F.count_distinct("seed").alias("seeds")).where("seeds >= 2").select("txid", "seeds", "n_in", "n_out")
+        consumed.groupBy(F.col("spender").alias("spent_by"), "n_in", "n_out")
+        .agg(F.count_distinct("seed").alias("seeds"), F.array_sort(F.collect_set(F.struct("txid", "vout"))).alias("outpoints"))  # at most its inputs
+        .where("seeds >= 2").select(F.col("spent_by").alias("txid"), "seeds", "n_in", "n_out", "outpoints")
     )
     return frontier, candidates
 
 
-def propagate_labels(sigs: DataFrame, seeds: DataFrame, rare: DataFrame | None = None, theta: float = 0.5, min_score: float = 0.1, max_rounds: int = 30) -> DataFrame:
+def propagate_labels(sigs: DataFrame, seeds: DataFrame, rare: DataFrame | None = None, theta: float = 0.5, min_score: float = 0.1, max_rounds: int = 10_000) -> DataFrame:
     """``(coin, label)``: labels spread from the seeds by overlap of signatures.
 
     In each round all labels' signatures are built anew from their members, and an open coin takes its best
@@ -296,9 +315,18 @@ def propagate_labels(sigs: DataFrame, seeds: DataFrame, rare: DataFrame | None =
         stands_out = F.when(spread > 1e-12, (F.col("top.score") - second) / spread).otherwise(0.0) > theta
         fresh = held(best.where((F.col("top.score") > min_score) & ((F.col("n_labels") < 2) | stands_out)).select("coin", "label"), f"fresh-{k}")
         if fresh.isEmpty():
-            break
-        labels = labels.unionByName(fresh)
-    return labels
+            return labels
+        labels = held(labels.unionByName(fresh), f"labels-{k}")
+    raise RuntimeError(f"labels still spread after {max_rounds} rounds")
+
+
+def propagate_and_refine(clusters: DataFrame, seeds: DataFrame, sigs: DataFrame, fp: DataFrame, rare: DataFrame | None = None) -> DataFrame:
+    """``(node, cluster, label)`` of both moves: the clusters (node, cluster) after ``split_clusters``, and the labels
+    that ``propagate_labels`` spreads; null where a node has none."""
+    rare = rarity(sigs) if rare is None else rare
+    split = split_clusters(clusters, sigs, fp, rare)
+    labels = propagate_labels(sigs, seeds, rare).toDF("node", "label")
+    return split.join(labels, "node", "full_outer").select("node", "cluster", "label")
 
 
 def split_clusters(clusters: DataFrame, sigs: DataFrame, fp: DataFrame, rare: DataFrame | None = None, refuse_below: float = -2.0, eps: float = 1e-9) -> DataFrame:
@@ -312,5 +340,9 @@ def split_clusters(clusters: DataFrame, sigs: DataFrame, fp: DataFrame, rare: Da
 
 
 def holdout(seeds: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
-    """``seeds`` with ``hidden``, decided by a hash of the coin."""
-    return seeds.withColumn("hidden", F.pmod(F.xxhash64("coin", F.lit(seed)), F.lit(1000)) < int(1000 * share))
+    """``seeds`` with ``hidden``: the least hashes of the coins, a share of them rounded down, but at least one and not
+    all (so a single one stays)."""
+    total = seeds.agg(F.count("*").alias("__n"))
+    x = ranked(seeds, "coin", seed).crossJoin(F.broadcast(total))  # one row
+    hide = F.least(F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.greatest(F.col("__n") - 1, F.lit(0)))
+    return x.withColumn("hidden", F.col("rank") <= hide).drop("rank", "__n")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot from this part of all rows on, so there are at most so many hot keys.
 HOT_PARTS = 1_000
+#: How often the stored tables were deleted; what remembers their paths compares it.
+CLEANED = {"times": 0}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def clean_up(spark: SparkSession) -> None:
     """Delete all tables that this application stored.  Results read from them until they are written themselves,
     so call it once those are."""
+    CLEANED["times"] += 1
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.hashing import hashed, neighbours
 from sparkloom.operators.metrics import auc
+from sparkloom.operators.shared import stored
 
 
 def active_hours(rows: DataFrame, entity: str, seconds: str) -> DataFrame:
@@ -32,7 +34,8 @@ def recurring(rows: DataFrame, entity: str, seconds: str, least: int = 8, most:
 
 def halves(rows: DataFrame, entity: str, seconds: str, least: int = 8, seed: int | None = None) -> DataFrame:
     """``(entity, first, second)``: hour histograms of both halves, by time or, given a seed, by a hash."""
-    order = [F.col(seconds)] if seed is None else [F.xxhash64(F.col(entity), F.col(seconds), F.lit(seed)), F.col(seconds)]
+    drawn = hashed(F.concat_ws("|", F.col(entity).cast("string"), F.col(seconds).cast("string")), seed or 0)
+    order = [F.col(seconds)] if seed is None else [drawn, F.col(seconds)]
     w = Window.partitionBy(entity)
     x = (
         rows.where(F.col(seconds).isNotNull())
@@ -54,19 +57,22 @@ def calibrate(rows: DataFrame, entity: str, seconds: str, least: int = 8, seed:
 
     Each entity is compared with its neighbour in a hashed order (within its number of active hours, for the
     matched figure), so the comparisons grow with the entities and not with their square."""
-    by_hash = F.xxhash64("entity", F.lit(seed))
     hours = active_hours(rows, entity, seconds)
-    whole = hours.join(halves(rows, entity, seconds, least).select("entity"), "entity", "left_semi").withColumn("band", F.size(F.filter("hours", lambda h: h > 0)))
+    whole = stored(
+        hours.join(halves(rows, entity, seconds, least).select("entity"), "entity", "left_semi").withColumn("band", F.size(F.filter("hours", lambda h: h > 0))), "schedules"
+    )
+    score = lambda a, b: F.round(-schedule_distance(F.col(a), F.col(b)), 9).alias("score")
 
-    def negatives(part: Column) -> DataFrame:
-        x = whole.withColumn("other", F.lead("hours").over(Window.partitionBy(part).orderBy(by_hash, "entity")))
-        return x.where("other is not null").select((-schedule_distance(F.col("hours"), F.col("other"))).alias("score"), F.lit(False).alias("positive"))
+    def negatives(within: list[str]) -> DataFrame:
+        x = neighbours(whole.select("entity", "hours", "band"), "entity", seed, within)
+        other = whole.select(F.col("entity").alias("other"), F.col("hours").alias("theirs"))
+        return x.join(other, "other").select(score("hours", "theirs"), F.lit(False).alias("positive"))
 
     def positives(seed_: int | None) -> DataFrame:
-        return halves(rows, entity, seconds, least, seed_).select((-schedule_distance(F.col("first"), F.col("second"))).alias("score"), F.lit(True).alias("positive"))
+        return halves(rows, entity, seconds, least, seed_).select(score("first", "second"), F.lit(True).alias("positive"))
 
-    spread = negatives(F.pmod(F.xxhash64("entity", F.lit(seed + 1)), F.lit(64)))
+    spread = negatives([])
     figure = lambda pos, neg, name: auc(pos.unionByName(neg)).select(F.col("auc").alias(name))
     out = figure(positives(seed), spread, "baseline_auc")
     out = out.crossJoin(figure(positives(None), spread, "persistence_auc"))  # single rows
-    return out.crossJoin(figure(positives(None), negatives(F.col("band")), "matched_auc"))
+    return out.crossJoin(figure(positives(None), negatives(["band"]), "matched_auc"))

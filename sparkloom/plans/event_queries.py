@@ -63,7 +63,8 @@ def temporal_entities_having(spark, sf):
 
 @query("calibrate_temporal")
 def calibrate_temporal(spark, sf):
-    return temporal.calibrate(_times(spark, sf), "user_id", "at")
+    got = temporal.calibrate(_times(spark, sf), "user_id", "at")
+    return got.select(*(F.round(c, 6).alias(c) for c in got.columns))
 
 
 @query("tumbling_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import evidence
-from sparkloom.operators import change, conservation, graph, metrics, mixture, provenance, refine
+from sparkloom.operators import change, conservation, graph, graph_tests, metrics, mixture, provenance, refine
 from sparkloom.operators.components import connected_components
+from sparkloom.operators.hashing import neighbours
+from sparkloom.operators.shared import stored
 from sparkloom.sources import ledger
 
 SQL = ledger.SQL
@@ -113,13 +115,10 @@ def fs_explain_cospent_pairs(spark, sf):
 
 def _agreements(spark, sf):
     """Reuse pairs (label 1) and neighbours in a hashed order (label 0), with agreement and activity per axis."""
-    from pyspark.sql import Window
-
     wide = _wide()
     txs = ledger.transactions(spark, sf).where(F.size("vin") > 0)
     of = txs.select(F.col("txid").alias("node"), evidence.features(_WIDE).alias("f"))
-    part = F.pmod(F.xxhash64("node"), F.lit(16))
-    other = of.select(F.col("node").alias("a"), F.lead("node").over(Window.partitionBy(part).orderBy(F.xxhash64("node", F.lit(1)), "node")).alias("b")).where("b is not null")
+    other = neighbours(of.select(F.col("node").alias("a")), "a", 1).select("a", F.col("other").alias("b"))
     pairs = _reuse(spark, sf).withColumn("label", F.lit(1)).unionByName(other.withColumn("label", F.lit(0)))
     x = pairs.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b")
     same = [F.col(f"fa.{k.name}") == F.col(f"fb.{k.name}") for k in wide]
@@ -129,8 +128,10 @@ def _agreements(spark, sf):
 
 @query("agree_patterns")
 def agree_patterns(spark, sf):
+    """Per axis 1 (agrees), 0 (differs) or - (silent)."""
     pairs, _ = _agreements(spark, sf)
-    return mixture.patterns(pairs)
+    sign = F.transform("pattern", lambda x: F.coalesce(x.cast("string"), F.lit("-")))
+    return mixture.patterns(pairs).select(F.concat_ws("", sign).alias("pattern"), "n")
 
 
 @query("oracle_m")
@@ -196,7 +197,7 @@ def auc_order_price(spark, sf):
 def shuffle_auc(spark, sf):
     txs = ledger.transactions(spark, sf)
     two = txs.where(F.size("vout") == 2).select("txid", F.get("vout", F.lit(0))["value"].alias("x"), F.get("vout", F.lit(1))["value"].alias("y"))
-    return metrics.auc(metrics.shuffled(two, "x", "y", "txid"))
+    return metrics.auc(metrics.shuffled(two, "x", "y", "txid")).withColumn("auc", F.round("auc", 6))
 
 
 # --- components and partition figures
@@ -321,15 +322,12 @@ def topology_weight_pairs(spark, sf):
 
 @query("cluster_bits_summary")
 def cluster_bits_summary(spark, sf):
-    txs = ledger.transactions(spark, sf)
     tiny = components_addresses(spark, sf).select(F.col("component").alias("cluster"), F.col("node").cast("string").alias("node"))
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     pay = lines.where("l_quantity <= 3").select("l_orderkey", F.col("l_partkey").cast("string").alias("src")).join(
         lines.where("l_quantity >= 36").select("l_orderkey", F.col("l_partkey").cast("string").alias("dst")), "l_orderkey"
     ).select("src", "dst").distinct()
-    got = graph.cluster_bits(tiny, pay).where("bits > 0")
-    del txs
-    return _bits_summary(got)
+    return _bits_summary(graph.cluster_bits(tiny, pay).where("bits > 0"))
 
 
 def _bits_summary(got):
@@ -356,19 +354,9 @@ def cluster_bits_all_addresses(spark, sf):
 @query("graph_structure_auc")
 def graph_structure_auc(spark, sf):
     """Do addresses of one cluster share payment neighbours more than addresses of different clusters?"""
-    from pyspark.sql import Window
-
     txs = ledger.stored_transactions(spark, sf)
-    clusters = change.address_clusters(txs)
-    held = graph.held_out_pairs(clusters, graph.cospent_addresses(txs))
-    order = Window.partitionBy(F.pmod(F.xxhash64("address"), F.lit(16))).orderBy(F.xxhash64("address", F.lit(3)), "address")
-    other = (
-        clusters.select("address", "cluster", F.lead("address").over(order).alias("o"), F.lead("cluster").over(order).alias("oc"))
-        .where("o is not null and oc != cluster").select(F.least("address", "o").alias("a"), F.greatest("address", "o").alias("b"))
-    )
-    common = graph.common_neighbours(graph.pay_edges(txs))
-    scored = held.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False))).join(common, ["a", "b"], "left")
-    return metrics.auc(scored.select(F.coalesce("n", F.lit(0)).alias("score"), "positive"))
+    clusters = stored(change.address_clusters(txs), "address-clusters").select("cluster", "address")
+    return graph_tests.structure_auc(clusters, graph.cospent_addresses(txs), graph.pay_edges(txs)).withColumn("auc", F.round("auc", 6))
 
 
 # --- the engine
@@ -391,10 +379,10 @@ def refine_refused(spark, sf):
 
 @query("refine_linked")
 def refine_linked(spark, sf):
-    """The links don't depend on the rounds, so they are not run."""
+    """Links per node, those with itself and with nodes it was spent with left out.  They don't depend on the rounds."""
     txs = ledger.stored_transactions(spark, sf)
     nodes = _nodes(txs)
-    return refine.missed_links(txs, nodes, refine.cospent_pairs(txs, nodes))
+    return refine.link_counts(txs, nodes, refine.cospent_pairs(txs, nodes).select("a", "b").distinct())
 
 
 @query("overcount_report")
@@ -490,11 +478,15 @@ def holdout_reid(spark, sf):
 def split_clusters(spark, sf):
     txs, found = _signatures(spark, sf)
     clusters = _funder_components(spark, sf).toDF("node", "cluster")
+    return provenance.split_clusters(clusters, _by_funder(found), _anchor_scores(txs, clusters))
+
+
+def _anchor_scores(txs, clusters):
+    """``(a, b, fp)`` of each cluster's least member and every other one."""
     of = txs.select(F.col("txid").alias("node"), evidence.features(evidence.NARROW).alias("f"))
     anchors = clusters.groupBy("cluster").agg(F.min("node").alias("a"))
     pairs = clusters.join(anchors, "cluster").where("node != a").select("a", F.col("node").alias("b"))
-    fp = pairs.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").select("a", "b", evidence.score(evidence.narrow_axes(), "fa", "fb").alias("fp"))
-    return provenance.split_clusters(clusters, _by_funder(found), fp)
+    return pairs.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").select("a", "b", evidence.score(evidence.narrow_axes(), "fa", "fb").alias("fp"))
 
 
 @query("fused_report")

@@ -186,32 +186,26 @@ def bootstrap_ci(spark, sf):
     truth = change.labelled(ledger.transactions(spark, sf), change.label_type_match())
     hit = axes.change_position()
     flags = truth.select("txid", F.coalesce(hit == F.col("change_index"), F.lit(False)).alias("tpr"), F.coalesce(hit != F.col("change_index"), F.lit(False)).alias("fpr"))
-    return bootstrap_rates(flags, ["tpr", "fpr"])
-
-
-# --- clusters of addresses (the slice of tiny lines keeps them from running together)
-def _slice(spark, sf):
-    return ledger.stored_transactions(spark, sf)
-
-
+    return bootstrap_rates(flags, ["tpr", "fpr"]).select("name", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")))
 
 
+# --- clusters of addresses
 @query("change_gt_mn")
 def change_gt_mn(spark, sf):
-    txs = _slice(spark, sf)
+    txs = ledger.transactions(spark, sf)
     return change.ground_truth(txs, change.address_clusters(txs)).select("txid", "change_index", "verdict")
 
 
 @query("two_change_frac")
 def two_change_frac(spark, sf):
-    txs = _slice(spark, sf)
+    txs = ledger.transactions(spark, sf)
     shares = change.two_change_shares(change.cluster_view(txs, change.address_clusters(txs)))
     return shares.select("root", F.round("share", 6).alias("share"))
 
 
 @query("find_change")
 def find_change(spark, sf):
-    txs = _slice(spark, sf)
+    txs = ledger.transactions(spark, sf)
     truth = change.labelled(txs, change.label_type_match())
     return change.find_change(truth, txs, change.address_clusters(txs))
 
@@ -249,23 +243,53 @@ def detect_batching(spark, sf):
     return entities.detect_batching(ledger.transactions(spark, sf), min_outputs=4)
 
 
+def _bent(txs, side, **fields):
+    """``txs`` with fields of each input's previous output, or of each output, computed anew: the tables have no dust, no
+    equal amounts and no scripts, so amounts are folded into small ranges for the queries that look for such."""
+    if side == "vout":
+        return txs.withColumn("vout", F.transform("vout", lambda o: o.withField(*next(iter((k, f(o)) for k, f in fields.items())))))
+    return txs.withColumn("vin", F.transform("vin", lambda v: v.withField(*next(iter((f"prevout.{k}", f(v["prevout"])) for k, f in fields.items())))))
+
+
 @query(
     "detect_dust_fanout",
-    "SELECT o.txid, o.address, o.value FROM tx_out o JOIN (SELECT txid, count(*) AS n, count(*) FILTER (value <= 1000) AS d FROM tx_out GROUP BY txid) x ON x.txid = o.txid WHERE n >= 2 AND d >= 0.4 * n AND o.value <= 1000",
+    ", b AS (SELECT txid, address, value % 2000 AS value FROM tx_out) SELECT b.txid, b.address, b.value FROM b JOIN (SELECT txid, count(*) AS n, count(*) FILTER (value <= 1000) AS d FROM b GROUP BY txid) x ON x.txid = b.txid WHERE n >= 3 AND d >= 0.9 * n AND b.value <= 1000",
 )
 def detect_dust_fanout(spark, sf):
-    return entities.detect_dust_fanout(ledger.transactions(spark, sf), min_outputs=2, min_share=0.4)
+    """Over amounts modulo 2000, from three outputs on."""
+    return entities.detect_dust_fanout(_bent(ledger.transactions(spark, sf), "vout", value=lambda o: o["value"] % 2000), min_outputs=3)
 
 
-@query("detect_bip47_notification")
+@query(
+    "detect_bip47_notification",
+    ", b AS (SELECT *, script_type = 'op_return' AND value % 3 > 0 AS note FROM tx_out), n AS (SELECT txid FROM b GROUP BY txid HAVING count(*) FILTER (note) = 1)"
+    " SELECT txid, address AS recipient FROM (SELECT txid, address, row_number() OVER (PARTITION BY txid ORDER BY vout) AS k FROM b SEMI JOIN n USING (txid) WHERE script_type <> 'op_return') WHERE k = 1 AND address IS NOT NULL",
+)
 def detect_bip47_notification(spark, sf):
-    return ledger.transactions(spark, sf).select("txid", entities.notification_address().alias("recipient")).where("recipient is not null")
+    """With scripts that push 80 bytes, or 4, by the amount."""
+    script = lambda o: F.when(o["scriptpubkey_type"] == "op_return", F.when(o["value"] % 3 > 0, "6a4c50" + "ab" * 80).otherwise("6a04deadbeef"))
+    txs = _bent(ledger.transactions(spark, sf), "vout", scriptpubkey=script)
+    return txs.select("txid", entities.notification_address().alias("recipient")).where("recipient is not null")
+
+
+def _with_tags(txs):
+    """Transactions without inputs as coinbases, with a script that holds each pool's tag in turn, in either case."""
+    tags = F.array(*map(F.lit, entities.POOL_TAGS))
+    tag = F.element_at(tags, (F.col("clock") % len(entities.POOL_TAGS) + 1).cast("int"))
+    text = F.concat(F.lit("mined by "), F.when(F.col("clock") % 2 == 0, F.upper(tag)).otherwise(tag), F.lit("!"))
+    return txs.withColumn("coinbase", F.when(F.size("vin") == 0, F.hex(F.encode(text, "utf-8"))))
 
 
-@query("detect_mining_pool")
+_TAGS = ", ".join(f"({i}, '{pool}')" for i, pool in enumerate(entities.POOL_TAGS.values()))
+
+
+@query(
+    "detect_mining_pool",
+    f""", tg(i, entity) AS (VALUES {_TAGS}) SELECT h.txid, entity, (SELECT address FROM tx_out o WHERE o.txid = h.txid AND address IS NOT NULL ORDER BY value DESC, vout LIMIT 1) AS payout
+FROM tx_head h JOIN (SELECT DISTINCT txid, clock FROM base) b ON b.txid = h.txid JOIN tg ON tg.i = b.clock % {len(entities.POOL_TAGS)} WHERE n_in = 0""",
+)
 def detect_mining_pool(spark, sf):
-    tag = F.when(F.size("vin") == 0, F.hex(F.encode(F.concat(F.lit("/F2Pool/"), "txid"), "utf-8")))
-    return entities.detect_mining_pool(ledger.transactions(spark, sf).withColumn("coinbase", tag), "coinbase")
+    return entities.detect_mining_pool(_with_tags(ledger.transactions(spark, sf)), "coinbase")
 
 
 @query(
@@ -343,7 +367,9 @@ def forced_prefixes(spark, sf):
 
 @query("coinjoin_demix")
 def coinjoin_demix(spark, sf):
-    return conservation.coinjoin_demix(ledger.transactions(spark, sf))
+    """Over outputs of one to three units, and inputs of two to six units less a fee."""
+    txs = _bent(ledger.transactions(spark, sf), "vout", value=lambda o: (1 + o["value"] % 3) * 100_000)
+    return conservation.coinjoin_demix(_bent(txs, "vin", value=lambda p: (2 + p["value"] % 5) * 100_000 - 1000))
 
 
 _SEEDS = ", known AS (SELECT DISTINCT txid FROM tx_out WHERE value % 100000 = 0)"
@@ -403,12 +429,11 @@ SELECT round(sum(CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN
 FROM sc x JOIN sc y ON x.positive AND NOT y.positive"""
 
 
-ORACLE_SQL["coinjoin_demix"] = SQL + """, m AS (SELECT txid, value AS mix, count(*) AS n, min(vout) AS first FROM tx_out GROUP BY ALL),
+ORACLE_SQL["coinjoin_demix"] = SQL + """, bo AS (SELECT txid, vout, (1 + value % 3) * 100000 AS value FROM tx_out), bi AS (SELECT txid, vin, (2 + value % 5) * 100000 - 1000 AS value FROM tx_in),
+m AS (SELECT txid, value AS mix, count(*) AS n, min(vout) AS first FROM bo GROUP BY ALL),
 mix AS (SELECT txid, mix FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY n DESC, first) AS k FROM m) WHERE k = 1 AND n >= 3),
-v AS (SELECT i.txid, i.vin, o.value AS change FROM tx_in i JOIN mix USING (txid) JOIN tx_out o ON o.txid = i.txid AND o.value <> mix WHERE mix + o.value - i.value BETWEEN 1 AND 2000)
+v AS (SELECT i.txid, i.vin, o.value AS change FROM bi i JOIN mix USING (txid) JOIN bo o ON o.txid = i.txid AND o.value <> mix WHERE mix + o.value - i.value BETWEEN 1 AND 2000)
 SELECT txid, vin AS input_index, change FROM (SELECT *, count(*) OVER (PARTITION BY txid, vin) AS a, count(*) OVER (PARTITION BY txid, change) AS b FROM v) WHERE a = 1 AND b = 1"""
-ORACLE_SQL["detect_mining_pool"] = SQL + """SELECT txid, 'f2pool' AS entity, (SELECT address FROM tx_out o WHERE o.txid = h.txid AND address IS NOT NULL ORDER BY value DESC, vout LIMIT 1) AS payout FROM tx_head h WHERE n_in = 0"""
-ORACLE_SQL["detect_bip47_notification"] = SQL + "SELECT txid, CAST(NULL AS VARCHAR) AS recipient FROM tx_head WHERE false  -- the tables have no scripts"
 
 _CLUSTERED = """, ia AS (SELECT DISTINCT txid, address AS a FROM tx_in), sym AS (SELECT DISTINCT x.a AS a, y.a AS b FROM ia x JOIN ia y USING (txid)),
 reach(x, y) AS (SELECT a, a FROM ia UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y), comp AS (SELECT x AS address, min(y) AS cluster FROM reach GROUP BY x),

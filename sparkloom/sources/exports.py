@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.hashing import hashed
 from sparkloom.operators.measure import first_wins
 
 _PREV = "struct<value: string, scriptpubkey_type: string, scriptpubkey_address: string>"
@@ -59,11 +62,18 @@ def coerce(raw: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, *paths: str) -> DataFrame:
-    """Transactions from JSON lines (or files that hold one list); lines that wrap the whole in ``row`` are unwrapped."""
-    lines = spark.read.text(list(paths)).select(F.trim("value").alias("line"), F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__pos")).where("line != ''")
-    whole = F.when(F.col("line").startswith("["), F.from_json("line", f"array<struct<row: string, {RAW.replace(': ', ':')}>>"))
-    one = F.array(F.from_json("line", f"struct<row: string, {RAW.replace(': ', ':')}>"))
-    x = lines.select(F.explode(F.coalesce(whole, one)).alias("t"), "__file", "__pos")
+    """Transactions from JSON lines, or files that hold one list, on one line or many; what is wrapped in ``row`` is
+    unwrapped.  A file whose first sign is ``[`` is read whole, as one row; the others line by line."""
+    struct = f"struct<row: string, {RAW.replace(': ', ':')}>"
+    found = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
+    firsts = found.where(F.trim("value") != "").groupBy("__file").agg(F.min_by(F.trim("value"), "__pos").alias("first"))
+    whole = [r["__file"] for r in firsts.where(F.col("first").startswith("[")).select("__file").collect()]  # names of files
+    lines = found.where(~F.col("__file").isin(whole)) if whole else found
+    x = lines.where(F.trim("value") != "").select(F.from_json(F.trim("value"), struct).alias("t"), "__file", "__pos")
+    if whole:
+        texts = spark.read.text([unquote(p) for p in whole], wholetext=True).select("value", F.col("_metadata.file_path").alias("__file"))
+        lists = texts.select(F.posexplode(F.from_json("value", f"array<{struct}>")).alias("__pos", "t"), "__file")
+        x = x.unionByName(lists.select("t", "__file", F.col("__pos").cast("bigint").alias("__pos")))
     wrapped = F.from_json("t.row", f"struct<{RAW.replace(': ', ':')}>")
     names = [f.strip().split(" ")[0] for f in ("txid", "height", "version", "locktime", "fee", "weight", "vin", "vout", "status", "_bc")]
     flat = x.withColumn("w", wrapped).select(
@@ -72,14 +82,23 @@ def read_export(spark: SparkSession, *paths: str) -> DataFrame:
     return coerce(flat)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, a folder or a pattern stands for, by name."""
+    return sorted(r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect())
+
+
 def load_unique(spark: SparkSession, *paths: str, keep: Column | None = None) -> DataFrame:
-    """The first transaction of each id over all files; ``keep`` is applied before."""
+    """The first transaction of each id over all files, in the order in which they are given (those of one folder or
+    pattern by their full names); ``keep`` is applied before."""
     x = read_export(spark, *paths)
     if keep is not None:
         x = x.where(keep)
-    order = {p: i for i, p in enumerate(paths)}
-    place = F.coalesce(*(F.when(F.endswith("__file", F.lit(p.rsplit("/", 1)[-1])), F.lit(i)) for p, i in order.items()), F.lit(len(order)))
-    return first_wins(x.withColumn("__place", place), "txid", "__place", "__pos").drop("__place", "__file", "__pos")
+    order: dict[str, int] = {}
+    for p in paths:
+        for f in _files(spark, p):
+            order.setdefault(f, len(order))
+    places = spark.createDataFrame(list(order.items()), "__file string, __place int")  # a row per file
+    return first_wins(x.join(F.broadcast(places), "__file"), "txid", "__place", "__pos").drop("__place", "__file", "__pos")
 
 
 def witness_sample(txs: DataFrame) -> DataFrame:
@@ -100,10 +119,8 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
 
 def uniform_sample(txs: DataFrame, n_blocks: int, per_block: int, seed: int = 0, floor: int = 0) -> DataFrame:
     """A few transactions of a few blocks, chosen by hashes: the same rows on every run and at every partitioning."""
-    from pyspark.sql import Window
-
-    heights = txs.where(F.col("height") >= floor).select("height").distinct().orderBy(F.xxhash64("height", F.lit(seed)), "height").limit(n_blocks)
-    order = Window.partitionBy("height").orderBy(F.xxhash64("txid", F.lit(seed)), "txid")
+    heights = txs.where(F.col("height") >= floor).select("height").distinct().orderBy(hashed(F.col("height"), seed), "height").limit(n_blocks)
+    order = Window.partitionBy("height").orderBy(hashed(F.col("txid"), seed), "txid")
     return txs.join(heights, "height", "left_semi").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_block).drop("__k")
 
 
@@ -117,3 +134,72 @@ def recent_sample(txs: DataFrame, n_blocks: int = 15) -> DataFrame:
 def era(height: Column) -> Column:
     """Script era of a height."""
     return F.when(height < 481824, "pre_segwit").when(height < 709632, "segwit").otherwise("taproot")
+
+
+# Script types as a chain table names them, and as the axes do.
+CHAIN_TYPES = {
+    "pubkeyhash": "p2pkh", "scripthash": "p2sh", "witness_v0_keyhash": "v0_p2wpkh", "witness_v0_scripthash": "v0_p2wsh",
+    "witness_v1_taproot": "v1_p2tr", "pubkey": "p2pk", "multisig": "multisig", "nulldata": "op_return",
+}
+
+
+def _chain_type(kind: Column) -> Column:
+    named = F.coalesce(*(F.when(kind == a, F.lit(b)) for a, b in CHAIN_TYPES.items()))
+    return F.coalesce(named, kind)
+
+
+def chain_rows(chain: DataFrame, values: bool = True, types: bool = True) -> DataFrame:
+    """Transactions from a chain table (hash, block_number, version, lock_time, fee, virtual_size, inputs, outputs):
+    only the asked nested fields are read, first addresses stand for all."""
+
+    def side(x: Column) -> list[Column]:
+        out = [F.get(x["addresses"], F.lit(0)).alias("scriptpubkey_address")]
+        if types:
+            out.insert(0, _chain_type(x["type"]).alias("scriptpubkey_type"))
+        if values:
+            out.insert(0, x["value"].alias("value"))
+        return out
+
+    vin = F.transform(
+        "inputs", lambda i: F.struct(i["spent_transaction_hash"].alias("txid"), i["spent_output_index"].alias("vout"), i["sequence"].alias("sequence"), F.struct(*side(i)).alias("prevout"))
+    )
+    vout = F.transform("outputs", lambda o: F.struct(*([] if values else [o["value"].alias("value")]), *side(o)))
+    more = [F.col("fee"), (F.col("virtual_size") * 4).alias("weight")] if types else []
+    return chain.where("not is_coinbase").select(
+        F.col("hash").alias("txid"), F.col("block_number").alias("height"), "version", F.col("lock_time").alias("locktime"), *more, vin.alias("vin"), vout.alias("vout")
+    )
+
+
+def export_sample(chain: DataFrame, percent: float, seed: int = 0, limit: int | None = None) -> DataFrame:
+    """``(txid, height, row)`` of a hashed share of the chain; row is the transaction as JSON.  With ``limit``, the
+    least hashes of those."""
+    cut = f"{int(percent / 100 * (1 << 32)):08x}"
+    x = chain.where(F.substring(hashed(F.col("hash"), seed), 1, 8) < cut)
+    if limit is not None:
+        x = x.orderBy(hashed(F.col("hash"), seed), "hash").limit(limit)
+    rows = chain_rows(x)
+    return rows.select("txid", "height", F.to_json(F.struct(*rows.columns)).alias("row"))
+
+
+def contiguous_slice(chain: DataFrame, first_day: str, last_day: str, values: bool = False) -> DataFrame:
+    """Every transaction of a range of days (column day, by which the table is partitioned, so others are not read)."""
+    return chain_rows(chain.where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))), values=values, types=False)
+
+
+def graph_slice(chain: DataFrame, month: str, low: int, high: int) -> DataFrame:
+    """``(txid, height, sources, targets)``: first addresses only, of a range of blocks; ``month`` prunes partitions."""
+    x = chain.where((F.col("month") == F.lit(month).cast("date")) & F.col("block_number").between(low, high) & ~F.col("is_coinbase"))
+    first = lambda side: F.transform(side, lambda i: F.get(i["addresses"], F.lit(0)))
+    return x.select(F.col("hash").alias("txid"), F.col("block_number").alias("height"), first("inputs").alias("sources"), first("outputs").alias("targets"))
+
+
+def cospend_times(chain: DataFrame, month: str, least: int = 8, most: int = 200, limit: int | None = None) -> DataFrame:
+    """``(addr, times)``: block times in order of the least input address, as the owner, of a month's transactions;
+    with ``limit``, the least addresses of those."""
+    least_address = F.array_min(F.flatten(F.transform("inputs", lambda i: F.coalesce(i["addresses"], F.array().cast("array<string>")))))
+    x = chain.where((F.col("month") == F.lit(month).cast("date")) & ~F.col("is_coinbase")).select(least_address.alias("addr"), "seconds").where("addr is not null")
+    # the bound is tested on counts, so no list grows beyond it
+    fits = x.groupBy("addr").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+    if limit is not None:
+        fits = fits.orderBy("addr").limit(limit)
+    return x.join(fits.select("addr"), "addr", "left_semi").groupBy("addr").agg(F.array_sort(F.collect_list("seconds")).alias("times"))

@@ -1,9 +1,11 @@
 """Operators on small hand-made transactions with known results."""
 
+import http.server
 import inspect
 import json
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -11,11 +13,11 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from sparkloom.functions import amounts, axes, evidence, library
-from sparkloom.operators import change, conservation, entities, graph, metrics, mixture, provenance, refine, temporal
+from sparkloom.operators import change, conservation, entities, graph, metrics, mixture, partitions, provenance, refine, temporal
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.measure import entropy, measure
-from sparkloom.plans import catalogue
-from sparkloom.sources import exports, ledger
+from sparkloom.plans import catalogue, graph_queries
+from sparkloom.sources import exports, ledger, rest
 
 TX = (
     "txid string, height bigint, version int, locktime bigint, fee bigint, weight bigint, "
@@ -323,8 +325,29 @@ def test_link_stars_have_the_components_of_all_links(spark):
 
 
 def test_registered_engine_links_from_the_default_on(spark):
-    got = catalogue.QUERIES["refine_linked"](spark, SF).agg(F.min("score").alias("least"), F.count_if(F.col("score") < 12).alias("weak")).first()
-    assert got.least >= refine.LINK_ABOVE and got.weak > 0
+    """Links per node, counted by tuples, against the pairs themselves."""
+    txs = ledger.transactions(spark, SF)
+    nodes = graph_queries._nodes(txs)
+    pairs = refine.missed_links(txs, nodes, refine.cospent_pairs(txs, nodes)).collect()
+    assert min(r.score for r in pairs) >= refine.LINK_ABOVE and any(r.score < 12 for r in pairs)
+    want = {r.node: 0 for r in nodes.collect()}
+    for r in pairs:
+        want[r.a] += 1
+        want[r.b] += 1
+    assert {r.node: r.links for r in catalogue.QUERIES["refine_linked"](spark, SF).collect()} == want
+
+
+def test_links_of_one_tuple_are_counted_and_not_listed(spark):
+    """Twenty thousand nodes of one tuple have two hundred million links."""
+    one = frame(spark, tx("x", [vin("p0", sequence=1), vin("p1", sequence=0xFFFFFFFF)]))
+    txs = one.drop("txid").crossJoin(spark.range(20_000).select(F.concat(F.lit("t"), F.col("id")).alias("txid")))
+    nodes = txs.select(F.col("txid").alias("node"))
+    none = spark.createDataFrame([("t1", "t2")], "a string, b string")
+    got = refine.link_counts(txs, nodes, none)
+    assert {(r.links, r.n) for r in got.groupBy("links").agg(F.count("*").alias("n")).collect()} == {(19_999, 19_998), (19_998, 2)}
+    of, strong = refine._kinds(txs, nodes, refine.LINK_ABOVE, 0.95)
+    edges = refine.link_stars(of, strong, none)
+    assert edges.count() < 60_000 and connected_components(edges).select("component").distinct().count() == 1
 
 
 def test_address_queries_read_the_whole_ledger(spark):
@@ -388,7 +411,10 @@ def test_link_matrix():
     assert provenance.link_matrix((3, 5), (3, 5)) == [[1.0, 0.0], [0.0, 1.0]]
     assert provenance.link_matrix((8,), (3, 5)) == [[1.0, 1.0]]
     assert provenance.link_matrix((3,), (5,)) is None
-    assert provenance.link_matrix(tuple(range(1, 9)), tuple(range(1, 9))) is None
+    assert provenance.link_matrix(tuple(range(1, 13)), tuple(range(1, 13))) is None  # too many coins
+    assert provenance.link_matrix((1,) * 8, (1,) * 8, most=16) == [[0.125] * 8] * 8
+    wide = provenance.link_matrix(tuple(3**i for i in range(9)), tuple(3**i for i in range(9)))
+    assert wide == [[float(i == o) for o in range(9)] for i in range(9)]
     assert provenance.link_matrix((4, 4), (4, 4)) == [[0.5, 0.5], [0.5, 0.5]]
 
 
@@ -462,3 +488,108 @@ def test_exports(spark, tmp_path):
     assert [(r.txid, r.height) for r in late] == [("a", 8)]
     (tmp_path / "c.ndjson").write_text('# note\n\n{"key": "k", "entity": "old"}\n{"key": "k", "entity": "new"}\n')
     assert [r.entity for r in exports.read_curated(spark, str(tmp_path / "c.ndjson")).collect()] == ["new"]
+
+
+def test_exports_of_many_lines_and_equal_names(spark, tmp_path):
+    plain = {"txid": "a", "height": "7", "vin": [], "vout": [{"value": "5"}]}
+    for folder, height in (("two", 2), ("one", 1)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.json").write_text(json.dumps([{**plain, "height": height}, {"row": json.dumps({**plain, "txid": folder})}], indent=2))
+    (tmp_path / "one" / "yx.json").write_text("\n" + json.dumps({**plain, "height": 9}) + "\n")
+    paths = [str(tmp_path / "two" / "x.json"), str(tmp_path / "one" / "x.json"), str(tmp_path / "one" / "yx.json")]
+    for order, first in ((paths, 2), (paths[::-1], 9), ([paths[1], paths[0]], 1)):
+        got = {r.txid: r for r in exports.load_unique(spark, *order).collect()}
+        assert got["a"].height == first and {"one", "two"} <= set(got)
+    assert {r.height for r in exports.load_unique(spark, str(tmp_path / "one")).where("txid = 'a'").collect()} == {1}
+
+
+def test_fits_beyond_the_driver_bound_agree(spark):
+    """With no pattern allowed on the driver the rounds run in Spark, with the same sums."""
+    rng = np.random.default_rng(3)
+    rows = [([bool(x) for x in rng.random(4) < (0.9 if rng.random() < 0.5 else 0.3)], [bool(x) for x in rng.random(4) < 0.9]) for _ in range(400)]
+    counted = mixture.patterns(spark.createDataFrame(rows, "agree array<boolean>, active array<boolean>"))
+    u = [0.3] * 4
+    near, far = mixture.em_fit(counted, u, max_iter=6), mixture.em_fit(counted, u, max_iter=6, most_patterns=0)
+    assert np.allclose(near.m, far.m, atol=1e-9) and math.isclose(near.share, far.share, abs_tol=1e-9)
+    drawn = mixture.gibbs_fit(counted, u, draws=6, burn=2, most_patterns=0)
+    assert drawn["draws"].shape == (4, 4) and (np.abs(drawn["m"] - near.m) < 0.25).all()
+
+
+def test_holdout_hides_a_share_but_never_all(spark):
+    for n, hidden in ((0, 0), (1, 0), (2, 1), (3, 1), (10, 3), (50, 15)):
+        seeds = spark.createDataFrame([(f"c{i}", "x") for i in range(n)], "coin string, label string")
+        assert provenance.holdout(seeds).where("hidden").count() == hidden
+
+
+def test_candidates_are_scored_apart(spark):
+    """One engine run for both candidates: the alike funders of S stay together, those of U are refused."""
+    alike = [tx(n, [vin(f"{n}-in", 1, f"addr-{n}")], [out(7, f"o{n}")]) for n in ("A", "B", "C")]
+    other = tx("D", [vin(f"d{i}", 1, f"addr-d{i}", sequence=1) for i in range(2)], [out(7, "oD")], locktime=5)
+    rows = [*alike, other, tx("S", [vin("A", 7, vout=0), vin("B", 7, vout=0)], [out(9, "s")]), tx("U", [vin("C", 7, vout=0), vin("D", 7, vout=0)], [out(9, "u")])]
+    txs = frame(spark, *rows)
+    seeds = spark.createDataFrame([(n, 0) for n in "ABCD"], "txid string, vout int")
+    candidates = provenance.walk_frontier(txs, seeds, 1)[1]
+    got = {r.txid: r for r in refine.score_candidates(txs, candidates).collect()}
+    assert set(got) == {"S", "U"} and got["S"].believed and got["S"].refused_pairs == 0
+    assert not got["U"].believed
+    run = {r.txid: r for r in refine.intersection_run(txs, seeds, max_depth=1).collect()}
+    assert run["S"].believed and run["S"].branches == 2 and run["S"].seeds == 2
+
+
+def test_bounded_groups(spark):
+    rows = [(g, f"{g}{i}") for g, n in (("a", 2), ("b", 2), ("c", 3), ("d", 9), ("e", 4)) for i in range(n)]
+    groups = spark.createDataFrame(rows, "group string, node string")
+    kept = lambda cap, base=None: {r.group for r in partitions.bounded_groups(groups, cap, base).select("group").distinct().collect()}
+    assert kept(7) == {"a", "b", "c"} and kept(3) == {"a"} and kept(100) == set("abcde") and kept(1) == set()
+    base = spark.createDataFrame([("d0",), ("d1",), ("d2",), ("d3",), ("d4",), ("d5",), ("d6",), ("a0",), ("a1",)], "node string")
+    assert kept(4, base) == {"a", "b", "d"}
+
+
+def test_rest_source(spark, tmp_path):
+    """A server that fails now and then, and knows little."""
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            answers = {
+                "/tx/a": {"txid": "a"}, "/tx/a/outspends": [{"spent": False}], "/blocks/tip/height": 800_000, "/v1/blocks": [{"height": 5}],
+                "/v1/blocks/7": [{"height": 8}, {"height": 7, "id": "x"}], "/block-height/200000": "h200000",
+            }
+            answers |= {f"/block/h1/txs/{k}": [{"txid": f"t{i}"} for i in range(k, min(k + 25, 60))] for k in (0, 25, 50)}
+            code = 503 if self.path == "/tx/a" and asked.count("/tx/a") < 3 else 200 if self.path in answers else 404
+            body = answers.get(self.path, "")
+            body = (body if isinstance(body, str) else json.dumps(body)).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        read = lambda kind, keys=(), **more: rest.read(spark, f"http://127.0.0.1:{server.server_port}", kind, keys, cache=str(tmp_path), min_interval=0, backoff=0, **more).collect()
+        got = {r.key: r for r in read("tx", ["a", "b"])}
+        assert json.loads(got["a"].body) == {"txid": "a"} and asked.count("/tx/a") == 3 and (got["b"].status, got["b"].body) == (404, None)
+        before = len(asked)
+        assert json.loads(read("tx", ["a"])[0].body) == {"txid": "a"} and len(asked) == before  # from the cache
+        assert read("tip")[0].body == "800000" and read("block_hash", ["200000"])[0].body == "h200000"
+        assert json.loads(read("block_at", ["7"])[0].body)["id"] == "x" and json.loads(read("outspends", ["a"])[0].body)[0]["spent"] is False
+        pages = read("block_pages", ["h1"], max_pages=8)
+        assert sum(len(json.loads(r.body)) for r in pages) == 60 and len(pages) == 3
+        assert rest.crawl_targets(2, 800_000) == [("pre_segwit", 200_000), ("pre_segwit", 340_911), ("segwit", 481_824), ("segwit", 595_727), ("taproot", 709_632), ("taproot", 754_815)]
+    finally:
+        server.shutdown()
+
+
+def test_command_line_prints_tables(spark, tmp_path, capsys):
+    plain = {"txid": "a", "height": "7", "version": 2, "locktime": 0, "vin": [{"txid": "p", "vout": "1", "sequence": "4294967295", "value": "9"}], "vout": [{"value": "5"}]}
+    (tmp_path / "x.ndjson").write_text(json.dumps(plain) + "\n")
+    from sparkloom import __main__ as cli
+
+    for command in ("measure", "change", "report"):
+        cli.main([command, str(tmp_path / "x.ndjson")], spark)
+        assert "|" in capsys.readouterr().out
