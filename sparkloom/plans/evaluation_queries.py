@@ -325,8 +325,8 @@ def _temporal_sql() -> str:
 {name} AS (SELECT user_id, {hours('k <= n // 2 AND ')} AS a, {hours('k > n // 2 AND ')} AS b FROM {name}k GROUP BY user_id)"""
     figure = lambda pos, neg: f"""(SELECT {_AUC_OF} FROM (SELECT sum(lo + (ties - 1) / 2.0) FILTER (positive) AS s, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn FROM
   (SELECT *, rank() OVER (ORDER BY score) AS lo, count(*) OVER (PARTITION BY score) AS ties FROM (SELECT {gap('a', 'b')} AS score, true AS positive FROM {pos} UNION ALL SELECT score, false FROM {neg}))))"""
-    return f"""WITH ev AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS at, CAST(epoch(ts) AS BIGINT) // 3600 % 24 AS h, count(*) OVER (PARTITION BY user_id) AS n FROM events QUALIFY n >= 8),
-{half('rh', "md5('0|' || user_id || '|' || at), at")}, {half('th', 'at')},
+    return f"""WITH ev AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(floor(epoch(ts)) AS BIGINT) // 3600 % 24 AS h, count(*) OVER (PARTITION BY user_id) AS n FROM events QUALIFY n >= 8),
+{half('rh', "md5('0|' || user_id || '|' || sec), sec")}, {half('th', 'sec')},
 wh AS (SELECT user_id, {hours('')} AS hours, count(DISTINCT h) AS band FROM ev GROUP BY user_id),
 n1 AS (SELECT x.hours AS a, y.hours AS b FROM (SELECT *, {_next('user_id', 0)} AS o FROM wh) x JOIN wh y ON y.user_id = x.o), s1 AS (SELECT {gap('a', 'b')} AS score FROM n1),
 n2 AS (SELECT x.hours AS a, y.hours AS b FROM (SELECT *, {_next('user_id', 0, ', band')} AS o FROM wh) x JOIN wh y ON y.user_id = x.o), s2 AS (SELECT {gap('a', 'b')} AS score FROM n2)
