@@ -12,7 +12,7 @@ from sparkloom.plans import label_queries as lq
 from sparkloom.sources import exports, ledger
 
 SQL = ledger.SQL
-RSQL = SQL.replace("WITH base", "WITH RECURSIVE base", 1)
+RSQL = g.RSQL
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -373,10 +373,10 @@ anc AS (SELECT cluster, min(node) AS a FROM comp GROUP BY cluster), pq AS (SELEC
 gone AS (SELECT b FROM pq p JOIN feat fa ON fa.txid = p.a JOIN feat fb ON fb.txid = p.b, cfg WHERE {g._FP} < -2 AND coalesce((SELECT sum(least(x.mass, y.mass)) FROM fs x JOIN fs y USING (ancestor) WHERE x.coin = p.a AND y.coin = p.b), 0) <= 1e-9)
 SELECT node, CASE WHEN node IN (SELECT b FROM gone) THEN node ELSE cluster END AS cluster FROM comp"""
 )
-ORACLE_SQL["fused_report"] = RSQL + _SIG + lq._PART + """, en AS (SELECT split_part(target, ':', 1) AS txid, round(sum(-mass * log2(mass)), 6) + 0 AS shannon, count(*) FILTER (cut) AS truncated FROM sig WHERE ends_with(target, ':0') GROUP BY target),
+ORACLE_SQL["fused_report"] = RSQL + _SIG + lq._PART + """, en AS (SELECT split_part(target, ':', 1) AS txid, CAST(split_part(target, ':', 2) AS INTEGER) AS vout, round(sum(-mass * log2(mass)), 6) + 0 AS shannon, count(*) FILTER (cut) AS truncated FROM sig GROUP BY target),
 tot AS (SELECT txid, CAST(sum(value) AS BIGINT) AS total, max(value) FILTER (vin = 0) AS known FROM tx_in GROUP BY txid), cnt AS (SELECT o.txid, total, known, o.value, count(*) AS present FROM tx_out o JOIN tot USING (txid) GROUP BY ALL),
 fo AS (SELECT txid, CAST(sum(value * (present - (total - known) // value)) AS BIGINT) AS forced_value FROM cnt WHERE value > 0 AND present - (total - known) // value >= 1 GROUP BY txid)
-SELECT h.txid, CAST(n_in AS INTEGER) AS n_in, CAST(n_out AS INTEGER) AS n_out, round(log2(r.n), 6) AS ambiguity_bits, r.payment, en.shannon, en.truncated, fo.forced_value
+SELECT h.txid, CAST(n_in AS INTEGER) AS n_in, CAST(n_out AS INTEGER) AS n_out, round(log2(r.n), 6) AS ambiguity_bits, r.payment, en.vout, en.shannon, en.truncated, fo.forced_value
 FROM tx_head h LEFT JOIN ranked r ON r.txid = h.txid AND r.k = 1 LEFT JOIN en ON en.txid = h.txid LEFT JOIN fo ON fo.txid = h.txid"""
 
 
@@ -417,7 +417,7 @@ def origin_ranks(spark, sf):
 def score_candidates(spark, sf):
     """What the engine says of each transaction that joins two walks or more."""
     txs = ledger.transactions(spark, sf)
-    candidates = provenance.walk_frontier(txs, g._coins(txs), 1)[1]
+    candidates = provenance.walk_frontier(txs, g._coins(txs))[1]
     return refine.score_candidates(txs, candidates)
 
 
@@ -425,7 +425,7 @@ def score_candidates(spark, sf):
 def intersection_run(spark, sf):
     """Walk forward, walk back from what meets, narrow, and let the engine decide."""
     txs = ledger.transactions(spark, sf)
-    return refine.intersection_run(txs, g._coins(txs), max_depth=3)
+    return refine.intersection_run(txs, g._coins(txs))
 
 
 # --- amounts and coins that the tables must be bent to show

@@ -14,6 +14,7 @@ from sparkloom.sources import ledger
 SQL = ledger.SQL
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+RSQL = SQL.replace("WITH base", "WITH RECURSIVE base", 1)
 
 
 def query(name: str, sql: str | None = None):
@@ -205,8 +206,7 @@ def shuffle_auc(spark, sf):
 
 def _recursive(edges: str, nodes: str, rest: str) -> str:
     """SQL of components: the least node that can be reached."""
-    prefix = SQL.replace("WITH base", "WITH RECURSIVE base", 1)
-    return f"""{prefix}{edges}, sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+    return f"""{RSQL}{edges}, sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach(x, y) AS (SELECT node, node FROM ({nodes}) UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y),
 comp AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY x) {rest}"""
 
@@ -230,25 +230,22 @@ def components_funders(spark, sf):
 ORACLE_SQL["components_funders"] = _recursive(_FUND_EDGES, "SELECT node FROM node", "SELECT node, component FROM comp")
 
 
-def _tiny(spark, sf):
-    """Input addresses of small lines only, which keeps address clusters from running together."""
-    return spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity <= 3").select("l_orderkey", "l_partkey")
+#: Components of addresses spent together: star edges, and the least address seen so far for each until none falls.
+_ADDRESS_COMP = """, sp AS (SELECT DISTINCT txid, address FROM tx_in WHERE address IS NOT NULL),
+star AS (SELECT DISTINCT m.a, sp.address AS b FROM sp JOIN (SELECT txid, min(address) AS a FROM sp GROUP BY txid) m USING (txid)),
+sym AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
+comp(node, component) USING KEY (node) AS (SELECT DISTINCT address, address FROM sp
+  UNION SELECT s.b, min(c.component) FROM comp c JOIN sym s ON s.a = c.node JOIN recurring.comp r ON r.node = s.b WHERE c.component < r.component GROUP BY s.b)
+"""
 
 
-@query(
-    "components_addresses",
-    None,
-)
+@query("components_addresses")
 def components_addresses(spark, sf):
-    tiny = _tiny(spark, sf)
-    star = tiny.groupBy("l_orderkey").agg(F.min("l_partkey").alias("src")).join(tiny, "l_orderkey").select("src", F.col("l_partkey").alias("dst"))
-    return connected_components(star)
+    """Over all input addresses of the ledger."""
+    return change.address_clusters(ledger.stored_transactions(spark, sf)).toDF("node", "component")
 
 
-ORACLE_SQL["components_addresses"] = """WITH RECURSIVE t AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_quantity <= 3),
-sym AS (SELECT DISTINCT x.p AS a, y.p AS b FROM t x JOIN t y USING (k)),
-reach(x, y) AS (SELECT p, p FROM t UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y)
-SELECT x AS node, min(y) AS component FROM reach GROUP BY x"""
+ORACLE_SQL["components_addresses"] = RSQL + _ADDRESS_COMP + "SELECT node, component FROM comp"
 
 
 @query("partition_entropy")
@@ -322,12 +319,10 @@ def topology_weight_pairs(spark, sf):
 
 @query("cluster_bits_summary")
 def cluster_bits_summary(spark, sf):
-    tiny = components_addresses(spark, sf).select(F.col("component").alias("cluster"), F.col("node").cast("string").alias("node"))
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    pay = lines.where("l_quantity <= 3").select("l_orderkey", F.col("l_partkey").cast("string").alias("src")).join(
-        lines.where("l_quantity >= 36").select("l_orderkey", F.col("l_partkey").cast("string").alias("dst")), "l_orderkey"
-    ).select("src", "dst").distinct()
-    return _bits_summary(graph.cluster_bits(tiny, pay).where("bits > 0"))
+    """Over all input addresses and payments of the ledger."""
+    txs = ledger.stored_transactions(spark, sf)
+    members = change.address_clusters(txs).toDF("node", "cluster")
+    return _bits_summary(graph.cluster_bits(members, graph.pay_edges(txs)).where("bits > 0"))
 
 
 def _bits_summary(got):
@@ -337,20 +332,6 @@ def _bits_summary(got):
     )
 
 
-@query("components_all_addresses")
-def components_all_addresses(spark, sf):
-    """As components_addresses, over all input addresses of the ledger."""
-    return change.address_clusters(ledger.stored_transactions(spark, sf)).toDF("node", "component")
-
-
-@query("cluster_bits_all_addresses")
-def cluster_bits_all_addresses(spark, sf):
-    """As cluster_bits_summary, over all input addresses and payments of the ledger."""
-    txs = ledger.stored_transactions(spark, sf)
-    members = change.address_clusters(txs).toDF("node", "cluster")
-    return _bits_summary(graph.cluster_bits(members, graph.pay_edges(txs)).where("bits > 0"))
-
-
 @query("graph_structure_auc")
 def graph_structure_auc(spark, sf):
     """Do addresses of one cluster share payment neighbours more than addresses of different clusters?"""
@@ -396,23 +377,36 @@ def _coins(txs):
     return txs.select("txid", F.posexplode("vout").alias("vout", "o")).select("txid", "vout")
 
 
-@query("walk_frontier")
+def _walk_sql(depth: int = 4) -> str:
+    """``e0`` to ``e<depth>``: coins of each seed by the step they were met at, with what spends them."""
+    sql = """, s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({'t': txid, 'v': vin}).t AS spender FROM tx_in GROUP BY ALL),
+sp AS (SELECT s.*, n_in >= 20 AND n_out >= 20 AS mix FROM s JOIN tx_head h ON h.txid = s.spender),
+l0 AS (SELECT txid || ':' || vout AS seed, txid, vout FROM tx_out), e0 AS (SELECT l0.*, spender, mix FROM l0 LEFT JOIN sp USING (txid, vout))"""
+    for k in range(1, depth + 1):
+        before = "".join(f" EXCEPT SELECT seed, txid, vout FROM l{j}" for j in range(k))
+        sql += f""",
+l{k} AS (SELECT DISTINCT seed, o.txid, o.vout FROM e{k - 1} JOIN tx_out o ON o.txid = e{k - 1}.spender WHERE NOT mix{before}),
+e{k} AS (SELECT l{k}.*, spender, mix FROM l{k} LEFT JOIN sp USING (txid, vout))"""
+    return sql + ", steps AS (" + " UNION ALL ".join(f"SELECT {k} AS depth, * FROM e{k}" for k in range(depth + 1)) + ") "
+
+
+@query(
+    "walk_frontier",
+    _walk_sql() + """SELECT reason, depth, count(*) AS n FROM (SELECT depth, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' WHEN depth = 4 THEN 'depth' END AS reason FROM steps)
+WHERE reason IS NOT NULL GROUP BY ALL""",
+)
 def walk_frontier(spark, sf):
-    txs = ledger.transactions(spark, sf)
-    return provenance.walk_frontier(txs, _coins(txs), 2)[0].groupBy("reason", "depth").agg(F.count("*").alias("n"))
+    txs = ledger.stored_transactions(spark, sf)
+    return provenance.walk_frontier(txs, _coins(txs))[0].groupBy("reason", "depth").agg(F.count("*").alias("n"))
 
 
 @query(
     "walk_candidates",
-    """, s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({'t': txid, 'v': vin}).t AS spender FROM tx_in GROUP BY ALL),
-w0 AS (SELECT o.txid || ':' || o.vout AS seed, s.spender FROM tx_out o JOIN s USING (txid, vout)),
-w1 AS (SELECT DISTINCT seed, s.spender FROM w0 JOIN s ON s.txid = w0.spender JOIN tx_out o ON o.txid = s.txid AND o.vout = s.vout),
-u AS (SELECT spender, seed FROM w0 UNION SELECT spender, seed FROM w1)
-SELECT spender AS txid, count(DISTINCT seed) AS seeds, h.n_in, h.n_out FROM u JOIN tx_head h ON h.txid = spender GROUP BY ALL HAVING count(DISTINCT seed) >= 2""",
+    _walk_sql() + """SELECT spender AS txid, count(DISTINCT seed) AS seeds, h.n_in, h.n_out FROM steps JOIN tx_head h ON h.txid = spender WHERE NOT mix GROUP BY ALL HAVING count(DISTINCT seed) >= 2""",
 )
 def walk_candidates(spark, sf):
-    txs = ledger.transactions(spark, sf)
-    got = provenance.walk_frontier(txs, _coins(txs), 1)[1]
+    txs = ledger.stored_transactions(spark, sf)
+    got = provenance.walk_frontier(txs, _coins(txs))[1]
     return got.select("txid", "seeds", F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"))
 
 
@@ -491,11 +485,11 @@ def _anchor_scores(txs, clusters):
 
 @query("fused_report")
 def fused_report(spark, sf):
-    """Per transaction: what each channel says; null where it has nothing to say."""
+    """Per output (null: a transaction without any): what each channel says; null where it has nothing to say."""
     from sparkloom.functions import amounts
 
     txs, found = _signatures(spark, sf)
-    entropy = provenance.signature_entropy(found).where(F.col("target").endswith(":0")).select(F.substring_index("target", ":", 1).alias("txid"), F.round("shannon", 6).alias("shannon"), "truncated")
+    entropy = provenance.signature_entropy(found).select(F.substring_index("target", ":", 1).alias("txid"), F.substring_index("target", ":", -1).cast("int").alias("vout"), F.round("shannon", 6).alias("shannon"), "truncated")
     x = txs.withColumn("ranked", amounts.partitions())
     base = x.select("txid", F.size("vin").alias("n_in"), F.size("vout").alias("n_out"), F.round(amounts.ambiguity_bits(F.col("ranked")), 6).alias("ambiguity_bits"), amounts.partition_signal(F.col("ranked"))["payment"].alias("payment"))
     forced = conservation.forced_in_round(txs.where(F.size("vin") > 0).withColumn("known", F.get("vin", F.lit(0))["prevout"]["value"])).groupBy("txid").agg(F.sum(F.col("value") * F.col("forced")).alias("forced_value"))
@@ -532,26 +526,10 @@ SELECT a, b, 'nsequence' AS axis, fa.s AS va, fb.s AS vb, round(CASE WHEN fa.s =
 UNION ALL SELECT a, b, 'locktime', fa.l, fb.l, round(CASE WHEN fa.l = fb.l THEN CASE WHEN fa.l = 'zero' THEN bz ELSE bh END ELSE ml END, 6) FROM p JOIN feat fa ON fa.txid = a JOIN feat fb ON fb.txid = b, cfg
 UNION ALL SELECT a, b, 'in_order', fa.o, fb.o, round(CASE WHEN fa.o IN ('single', 'small_n') OR fb.o IN ('single', 'small_n') THEN NULL WHEN fa.o = fb.o THEN (SELECT bits FROM ob WHERE v = fa.o) ELSE mo END, 6) FROM p JOIN feat fa ON fa.txid = a JOIN feat fb ON fb.txid = b, cfg"""
 )
-ORACLE_SQL["walk_frontier"] = SQL + """, s AS (SELECT prev_txid AS txid, prev_vout AS vout, min({'t': txid, 'v': vin}).t AS spender FROM tx_in GROUP BY ALL),
-sp AS (SELECT s.*, n_in >= 20 AND n_out >= 20 AS mix FROM s JOIN tx_head h ON h.txid = s.spender),
-l0 AS (SELECT txid || ':' || vout AS seed, txid, vout FROM tx_out),
-e0 AS (SELECT l0.*, spender, mix FROM l0 LEFT JOIN sp USING (txid, vout)),
-l1 AS (SELECT DISTINCT seed, o.txid, o.vout FROM e0 JOIN tx_out o ON o.txid = e0.spender WHERE NOT mix),
-e1 AS (SELECT l1.*, spender, mix FROM l1 LEFT JOIN sp USING (txid, vout)),
-l2 AS (SELECT DISTINCT seed, o.txid, o.vout FROM e1 JOIN tx_out o ON o.txid = e1.spender WHERE NOT mix EXCEPT SELECT seed, txid, vout FROM l1),
-e2 AS (SELECT l2.*, spender, mix FROM l2 LEFT JOIN sp USING (txid, vout)),
-st AS (SELECT 0 AS depth, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' END AS reason FROM e0
-  UNION ALL SELECT 1, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' END FROM e1
-  UNION ALL SELECT 2, CASE WHEN spender IS NULL THEN 'unspent' WHEN mix THEN 'coinjoin' ELSE 'depth' END FROM e2)
-SELECT reason, depth, count(*) AS n FROM st WHERE reason IS NOT NULL GROUP BY ALL"""
-ORACLE_SQL["cluster_bits_summary"] = """WITH RECURSIVE t AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_quantity <= 3),
-sym AS (SELECT DISTINCT x.p AS a, y.p AS b FROM t x JOIN t y USING (k)),
-reach(x, y) AS (SELECT p, p FROM t UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y),
-comp AS (SELECT x AS node, min(y) AS cluster FROM reach GROUP BY x),
-pay AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_quantity <= 3 AND b.l_quantity >= 36),
-big AS (SELECT cluster FROM comp GROUP BY cluster HAVING count(*) >= 2),
-ext AS (SELECT DISTINCT cluster, dst FROM comp JOIN big USING (cluster) JOIN pay ON src = node),
-outside AS (SELECT e.* FROM ext e WHERE NOT EXISTS (SELECT 1 FROM comp c WHERE c.cluster = e.cluster AND c.node = e.dst)),
+ORACLE_SQL["cluster_bits_summary"] = RSQL + _ADDRESS_COMP + _PAY + """, mem AS (SELECT node, component AS cluster FROM comp),
+big AS (SELECT cluster FROM mem GROUP BY cluster HAVING count(*) >= 2),
+ext AS (SELECT DISTINCT cluster, dst FROM mem JOIN big USING (cluster) JOIN pay ON src = node),
+outside AS (SELECT e.* FROM ext e WHERE NOT EXISTS (SELECT 1 FROM mem c WHERE c.cluster = e.cluster AND c.node = e.dst)),
 w AS (SELECT dst, -log2(count(DISTINCT src) / (SELECT count(DISTINCT src) FROM pay)) AS bits FROM pay GROUP BY dst),
 g AS (SELECT cluster, sum(bits) AS bits FROM outside JOIN w USING (dst) GROUP BY cluster HAVING sum(bits) > 0)
 SELECT count(*) AS clusters, round(median(bits), 6) AS median, round(max(bits), 6) AS most, round(avg(CAST(bits >= 1.6 AS DOUBLE)), 6) AS share_1_6,

