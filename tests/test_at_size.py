@@ -1,8 +1,13 @@
 """What made queries fail on larger tables: small cases that would have failed before."""
 
+import math
+import zlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, shared
+from sparkloom.operators import graph, mixture, shared
 
 
 def kept(df):
@@ -41,3 +46,44 @@ def test_overlap_lists_the_lesser_side(spark):
             yield from joins(child)
 
     assert max(joins(text)) <= 4000
+
+
+def test_many_patterns_are_drawn_without_a_job_a_round(spark, monkeypatch):
+    """A quarter of a million patterns of 22 axes; the sums are those of the patterns taken one by one."""
+    k = 22
+    says = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.nullif(F.pmod(F.hash("id", j), F.lit(3)), F.lit(2)))
+    counted = kept(spark.range(250_000).select(says.alias("pattern"), (1 + F.col("id") % 3).alias("n")))
+    u = [0.2 + 0.02 * j for j in range(k)]
+    held = mixture._Counted(counted.limit(500), k)
+    m, on, share = np.linspace(0.6, 0.95, k), [], 0.4
+    rows = counted.limit(500).collect()
+    got = held.sums(m, np.array(u), share)
+    code = np.array([[-1 if v is None else v for v in r.pattern] for r in rows])
+    on, a, n = code >= 0, code == 1, np.array([r.n for r in rows])
+    side = lambda p: np.where(on, np.where(a, np.log(p), np.log(1 - p)), 0).sum(1)
+    top, bottom = np.log(share) + side(m), np.log(1 - share) + side(np.array(u))
+    z = n * np.exp(top - np.logaddexp(top, bottom))
+    assert math.isclose(got.part, z.sum(), rel_tol=1e-9) and np.allclose(got.speaks, z @ on) and np.allclose(got.agrees, z @ a)
+    monkeypatch.setattr(type(counted), "mapInArrow", lambda *x, **y: pytest.fail("a job a round"))
+    assert mixture.gibbs_fit(counted, u, draws=4, burn=1)["draws"].shape == (3, k)
+
+
+def test_cluster_band_counts_each_draw(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted({tuple(sorted((f"n{rng.integers(60)}", f"n{rng.integers(60)}"))) for _ in range(70)})
+    rows = [(a, b, [bool(x) for x in rng.random(3) < 0.6], [bool(x) for x in rng.random(3) < 0.8]) for a, b in rows if a != b]
+    pairs = spark.createDataFrame(rows, "a string, b string, agree array<boolean>, active array<boolean>")
+    u, every = np.array([0.3, 0.4, 0.2]), rng.uniform(0.5, 0.95, (40, 3))
+    for n, most in ((30, None), (2, 0)):
+        clusters = []
+        coins = {(a, b): np.random.default_rng([0, zlib.crc32(f"{a}|{b}".encode())]).random(n) for a, b, _, _ in rows}
+        for d, m in enumerate(every[np.linspace(0, 39, n).astype(int)]):
+            of = {x: x for a, b, _, _ in rows for x in (a, b)}
+            for a, b, agree, active in rows:
+                odds = sum(math.log(m[j] / u[j]) if agree[j] else math.log((1 - m[j]) / (1 - u[j])) for j in range(3) if active[j])
+                if coins[a, b][d] < 1 / (1 + math.exp(-odds)):
+                    old, new = of[b], of[a]
+                    of = {x: new if y == old else y for x, y in of.items()}
+            clusters.append(len(set(of.values())))
+        r = mixture.cluster_band(pairs, u.tolist(), {"draws": every, "share": 0.5}, draws=n, most_links=most).first()
+        assert r.nodes == len(of) and math.isclose(r["mean"], np.mean(clusters)) and math.isclose(r.low, np.quantile(clusters, 0.025)) and math.isclose(r.high, np.quantile(clusters, 0.975))
