@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, mixture, shared
+from sparkloom.operators import graph, graph_tests, mixture, shared
 
 
 def kept(df):
@@ -87,3 +87,19 @@ def test_cluster_band_counts_each_draw(spark):
             clusters.append(len(set(of.values())))
         r = mixture.cluster_band(pairs, u.tolist(), {"draws": every, "share": 0.5}, draws=n, most_links=most).first()
         assert r.nodes == len(of) and math.isclose(r["mean"], np.mean(clusters)) and math.isclose(r.low, np.quantile(clusters, 0.025)) and math.isclose(r.high, np.quantile(clusters, 0.975))
+
+
+def test_depth_sweep_walks_as_it_joins(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_DEGREE", 6)
+    monkeypatch.setattr(graph, "MOST_REACHED", 25)
+    monkeypatch.setattr(graph.k_hop, "__defaults__", (6, 25))
+    rng = np.random.default_rng(9)
+    names = [f"a{i}" for i in range(80)]
+    one = [(names[rng.integers(80)], names[min(int(rng.exponential(20)), 79)]) for _ in range(120)]
+    edges = kept(spark.createDataFrame(one + [(b, a) for a, b in one], "src string, dst string").distinct())
+    # a node without edges has no number
+    pairs = [(*sorted((names[i], names[(7 * i + j) % 80])), j == 1) for i in range(80) for j in (1, 2)] + [("a1", "alone", True)]
+    pairs = kept(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a string, b string, positive boolean").distinct())
+    monkeypatch.setattr(graph_tests, "_TASK_PAIRS", 40)
+    near, far = (sorted((r.positive, r.met) for r in way(pairs, edges, 4).collect()) for way in (graph_tests._met_in_memory, graph_tests._met_by_joins))
+    assert near == far and len({tuple(m) for _, m in near}) > 20
