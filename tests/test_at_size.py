@@ -5,15 +5,37 @@ import zlib
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, graph_tests, mixture, shared
+from sparkloom.sources import ledger
 
 
 def kept(df):
     return shared.stored(df, "test")
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_the_ledger_is_derived_from_numbers(spark, monkeypatch):
+    """Lines are shuffled once, without the texts made from them, and the numbers don't stay when the table is written."""
+    monkeypatch.setattr(ledger, "_LEDGERS", {})
+    before = shuffled(spark)
+    txs = ledger.transactions(spark, SF)
+    assert shuffled(spark) - before < 60 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(list(ledger._LEDGERS.values())[0])
+    kept = [f.getPath().getName() for f in fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs.getParent())]
+    assert fs.getName() in kept and not any(x.startswith("orders-") for x in kept)
+    assert txs.count() == txs.select("txid").distinct().count()
+
+
 def test_shuffle_files_go_with_the_job_that_made_them(spark):
     """Tables that are stored leave no shuffle behind, and the session's setting stays as it was."""
     shuffles = lambda: {i for i in spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",") if i}
