@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, graph_tests, mixture, shared
+from sparkloom.operators import graph, graph_tests, hashing, mixture, shared
 from sparkloom.sources import ledger
 
 
@@ -125,3 +125,26 @@ def test_depth_sweep_walks_as_it_joins(spark, monkeypatch):
     monkeypatch.setattr(graph_tests, "_TASK_PAIRS", 40)
     near, far = (sorted((r.positive, r.met) for r in way(pairs, edges, 4).collect()) for way in (graph_tests._met_in_memory, graph_tests._met_by_joins))
     assert near == far and len({tuple(m) for _, m in near}) > 20
+
+
+def test_structure_auc_derives_edges_once(spark, monkeypatch):
+    """The counts are planned over written edges and pairs, not over what derives them; the AUC is that of all pairs."""
+    plans = []
+    plain = graph_tests.auc_of_counts
+    monkeypatch.setattr(hashing, "PART_DIGITS", 0)
+    monkeypatch.setattr(graph_tests, "auc_of_counts", lambda counts: plans.append(counts._jdf.queryExecution().optimizedPlan().toString()) or plain(counts))
+    rng = np.random.default_rng(3)
+    names = [f"n{i}" for i in range(60)]
+    links = sorted({(names[rng.integers(60)], f"v{rng.integers(12)}") for _ in range(150)})
+    clusters = {x: names[i % 7] for i, x in enumerate(names)}
+    cospent = sorted({tuple(sorted((names[i], names[(i + 7) % 60]))) for i in range(0, 60, 3)})
+    edges = spark.createDataFrame(links, "src string, dst string").distinct()
+    held = kept(spark.createDataFrame([(c, a) for a, c in clusters.items()], "cluster string, address string"))
+    r = graph_tests.structure_auc(held, kept(spark.createDataFrame(cospent, "a string, b string")), edges).first()
+    assert plans and "LogicalRDD" not in plans[0] and "LocalRelation" not in plans[0] and "Window" not in plans[0]
+    near = {x: {v for a, v in links if a == x} for x in names}
+    pos = [len(near[a] & near[b]) for a in names for b in names if a < b and clusters[a] == clusters[b] and (a, b) not in cospent]
+    neg = [len(near[x.a] & near[x.b]) for x in graph_tests.across_pairs(held).collect()]
+    wins = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+    assert (r.n_pos, r.n_neg) == (len(pos), len(neg))
+    assert len(neg) > 30 and math.isclose(r.auc, wins / (len(pos) * len(neg)))
